@@ -9,7 +9,7 @@ from .common import scratch_path, table
 
 
 def op1_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return training_order.materialise(table(spark, sf_dir, "documents"), scratch_path(spark, "shards"), stable=True)
+    return training_order.materialise(table(spark, sf_dir, "documents"), scratch_path(spark, "shards"))
 
 
 def op2_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

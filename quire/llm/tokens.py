@@ -1,13 +1,21 @@
-"""Token ids by a public tokenizer, through a bounded cache of words."""
+"""Token ids by a public tokenizer, many texts at once, through bounded caches of words."""
 
 from __future__ import annotations
 
+import unicodedata
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 
 VOCABULARY = "word_bpe_49k.json"
 VOCABULARY_SIZE = 49_408
 END = 2
-_BLANKS = str.maketrans("\t\n\x0b\x0c\r", "     ")
+#: How the tokenizer splits its normalised text before merging; a fixed value of its file.
+_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: Texts of about so many characters are encoded together.
+_TOGETHER = 4_000_000
 
 
 def default_path() -> str:
@@ -16,34 +24,109 @@ def default_path() -> str:
     return public_tokenizers.path(VOCABULARY)
 
 
+def _pieces(chunk: str) -> tuple[str, ...] | list[str] | None:
+    """The pieces of a chunk; None where its normal form may be split otherwise."""
+    if not chunk.isascii() and (len(chunk.lower()) != len(chunk) or not unicodedata.is_normalized("NFC", chunk)):
+        return None
+    if chunk.isalpha():
+        return (chunk,)
+    if chunk[-1:] in (".", ",") and chunk[:-1].isalpha():
+        return chunk[:-1], chunk[-1]
+    return _PIECES.findall(chunk)
+
+
 class Encoder:
-    """Ids of whole texts as little-endian unsigned 32-bit bytes.
+    """Ids of whole texts, exactly the tokenizer's.
 
-    The tokenizer drops white space and never merges over it, so a text's ids are those of its blank-separated
-    chunks, one after the other; each chunk is encoded once and kept in a cache of at most `keep` chunks.
+    It drops white space, lowers case and never merges over white space or between letters, digits and marks. So a text's ids
+    are those of its blank-separated chunks in turn, a chunk's those of its pieces. Distinct chunks of many texts are
+    found by dictionary encoding; chunks and pieces seen before come from caches of at most `keep` entries; new pieces
+    are encoded in one call. Texts that hold a special token's opening, and chunks whose normal form is another, go to
+    the tokenizer as they are.
     """
 
-    def __init__(self, path: str, keep: int = 250_000) -> None:
+    def __init__(self, path: str, keep: int = 500_000) -> None:
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.keep, self.cache = Tokenizer.from_file(path), keep, {"": b""}
-
-    def __call__(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        chunks = text.translate(_BLANKS).split(" ")
-        cache = self.cache
-        try:
-            return b"".join(map(cache.__getitem__, chunks))
-        except KeyError:
-            new = list({c for c in chunks if c not in cache})
-            if len(cache) + len(new) > self.keep:
-                cache.clear()
-                cache[""] = b""
-                new = list(set(chunks) - {""})
-            for c, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                cache[c] = np.array(e.ids, "<u4").tobytes()
-            return b"".join(map(cache.__getitem__, chunks))
+        self.tokenizer, self.keep = Tokenizer.from_file(path), keep
+        self.last = np.zeros(VOCABULARY_SIZE, bool)  # tokens that end a piece
+        for name, i in self.tokenizer.get_vocab().items():
+            self.last[i] = name.endswith("</w>")
+        self.chunks: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _learn(self, new: list[str]) -> None:
+        """Puts the chunks `new` into the cache."""
+        split = {c: _pieces(c) for c in new}
+        missing = list({p for found in split.values() if found for p in found}.difference(self.pieces))
+        if len(self.pieces) + len(missing) > self.keep:
+            self.pieces = {}
+            missing = list({p for found in split.values() if found for p in found})
+        for lo in range(0, len(missing), 20_000):
+            part = missing[lo : lo + 20_000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) == len(part):
+                raw, at = ids.tobytes(), (4 * ends).tolist()
+                self.pieces.update(zip(part, map(raw.__getitem__, map(slice, [0, *at[:-1]], at)), strict=True))
+            else:  # a piece that the tokenizer splits on
+                self.pieces.update((p, self._whole(p)) for p in part)
+        get = self.pieces.__getitem__
+        self.chunks.update((c, self._whole(c) if found is None else b"".join(map(get, found))) for c, found in split.items())
+
+    def _some(self, texts: list[str], expand: bool) -> tuple[np.ndarray | None, np.ndarray]:
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(pa.array(texts, pa.large_string())))
+        flat = lists.flatten().dictionary_encode()
+        names, at = flat.dictionary.to_pylist(), flat.indices.to_numpy(zero_copy_only=False)
+        new = [c for c in names if c not in self.chunks]
+        if len(self.chunks) + len(new) > self.keep:
+            self.chunks, new = {}, names
+        self._learn(new)
+        blobs = [self.chunks[c] for c in names]
+        size = np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4
+        lengths = size[at] if len(names) else np.zeros(0, np.int64)
+        offsets = lists.offsets.to_numpy()
+        total = np.concatenate([[0], np.cumsum(lengths)])
+        counts = total[offsets[1:]] - total[offsets[:-1]]
+        if not expand:
+            return None, counts
+        start = np.concatenate([[0], np.cumsum(size)[:-1]]) if len(names) else np.zeros(0, np.int64)
+        shift = np.repeat(start[at] - total[:-1], lengths) if len(at) else np.zeros(0, np.int64)
+        return np.frombuffer(b"".join(blobs), "<u4")[shift + np.arange(len(shift))], counts
+
+    def _groups(self, texts: list[str | None]):
+        group, size = [], 0
+        for t in texts:
+            group.append(t if isinstance(t, str) else "")
+            size += len(group[-1])
+            if size >= _TOGETHER:
+                yield group
+                group, size = [], 0
+        if group:
+            yield group
+
+    def counts(self, texts: list[str | None]) -> list[int]:
+        """Numbers of ids of the texts; null ones are empty."""
+        out = []
+        for group in self._groups(texts):
+            odd = ["<|" in t for t in group]
+            n = self._some(["" if o else t for t, o in zip(group, odd, strict=True)], expand=False)[1].tolist()
+            out += [len(self._whole(t)) // 4 if o else k for t, o, k in zip(group, odd, n, strict=True)]
+        return out
+
+    def many(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit bytes; null ones are empty."""
+        out = []
+        for group in self._groups(texts):
+            odd = ["<|" in t for t in group]
+            ids, n = self._some(["" if o else t for t, o in zip(group, odd, strict=True)], expand=True)
+            ends = np.cumsum(n)
+            raw = ids.astype("<u4").tobytes()
+            out += [self._whole(t) if o else raw[4 * (e - k) : 4 * e] for t, o, k, e in zip(group, odd, n.tolist(), ends.tolist(), strict=True)]
+        return out
 
 
 _encoders: dict[str, Encoder] = {}

@@ -58,8 +58,8 @@ def _streams(batches: Iterator[pd.DataFrame], path: str, seq_len: int) -> Iterat
     enc, end = tokens.encoder(path), np.array([tokens.END], "<u4").tobytes()
     parts, have, first = [], 0, None
     for pdf in batches:
-        for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
-            ids = enc(text if isinstance(text, str) else None) + end
+        for doc_id, ids in zip(pdf["doc_id"], enc.many(pdf["text"].tolist()), strict=True):
+            ids += end
             doc_id, at, n = NO_ID if doc_id is None or doc_id != doc_id else int(doc_id), 0, len(ids) // 4
             while at < n:
                 first = first or (doc_id, at)
@@ -73,51 +73,42 @@ def _streams(batches: Iterator[pd.DataFrame], path: str, seq_len: int) -> Iterat
         yield *first, b"".join(parts)
 
 
-def materialise(docs: DataFrame, out: str, seq_len: int = 2048, per_shard: int = 2048, key: int = 20_240_607, path: str | None = None, stable: bool = False) -> DataFrame:
+def materialise(docs: DataFrame, out: str, seq_len: int = 2048, per_shard: int = 2048, key: int = 20_240_607, path: str | None = None) -> DataFrame:
     """Writes the shards of docs (doc_id, text) to the folder `out` and returns what read() finds there.
 
-    docs is read twice and must give the same partitions each time: stable=True says that it is a plain scan of files;
-    any other plan is written to the shared folder first. Only sequence counts by partition come to the driver.
-    Null texts are empty (a lone END); a null doc_id is written as the smallest long; repeated rows are kept; other
+    Sequences are cut once and written to the shared folder, which fixes their order; only their counts by partition
+    come to the driver. Null texts are empty (a lone END); a null doc_id stays null; repeated rows are kept; other
     columns are ignored; an empty table gives no shard.
     """
     import zstandard
 
     spark, path = docs.sparkSession, path or tokens.default_path()
-    docs = docs.select("doc_id", "text")
-    docs = docs if stable else common.written(docs, "order-input")
     width = "<u2" if tokens.VOCABULARY_SIZE <= 2**16 else "<u4"
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = tokens.encoder(path)
-        n = sum(len(enc(t if isinstance(t, str) else None)) // 4 + 1 for pdf in batches for t in pdf["text"])
-        yield pd.DataFrame({"part": [TaskContext.get().partitionId()], "n": [-(-n // seq_len)]})
-
-    counts = dict(sorted((r.part, r.n) for r in docs.mapInPandas(count, "part int, n long").collect()))
-    base = dict(zip(counts, accumulate(counts.values(), initial=0), strict=False))
-    total = sum(counts.values())
-    if not total:
-        return spark.createDataFrame([], SCHEMA)
-
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part, squeeze, rows, n = TaskContext.get().partitionId(), zstandard.ZstdCompressor(level=3), [], 0
-
-        def frame() -> pd.DataFrame:
-            pdf = pd.DataFrame(rows, columns=["doc_id", "start", "ids"])
-            pdf["slot"] = permute(np.arange(base[part] + n - len(rows), base[part] + n), total, key)
-            return pdf
-
+        frame = lambda: pd.DataFrame(rows, columns=["part", "nth", "doc_id", "start", "ids"])
         for doc_id, start, ids in _streams(batches, path, seq_len):
-            rows.append((doc_id, start, squeeze.compress(np.frombuffer(ids, "<u4").astype(width).tobytes())))
+            rows.append((part, n, doc_id, start, squeeze.compress(np.frombuffer(ids, "<u4").astype(width).tobytes())))
             n += 1
             if len(rows) == 512:
                 yield frame()
                 rows = []
-        if n != counts.get(part, 0):
-            raise RuntimeError(f"partition {part} gave {n} sequences, {counts.get(part, 0)} before; docs is not stable")
         if rows:
             yield frame()
 
+    made = common.written(docs.select("doc_id", "text").mapInPandas(cut, "part int, nth long, doc_id long, start long, ids binary"), "sequences")
+    counts = dict(sorted((r.part, r["count"]) for r in made.groupBy("part").count().collect()))
+    base = dict(zip(counts, accumulate(counts.values(), initial=0), strict=False))
+    total = sum(counts.values())
+    if not total:
+        return spark.createDataFrame([], SCHEMA)
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            index = pdf["part"].map(base).to_numpy("int64") + pdf["nth"].to_numpy("int64")
+            yield pdf[["doc_id", "start", "ids"]].assign(slot=permute(index, total, key))
+
     def record(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         expand, size = zstandard.ZstdDecompressor(), np.dtype(width).itemsize
         for pdf in batches:
@@ -128,7 +119,7 @@ def materialise(docs: DataFrame, out: str, seq_len: int = 2048, per_shard: int =
             yield pd.DataFrame({"rec": recs})
 
     shards = -(-total // per_shard)
-    rows = docs.mapInPandas(cut, "doc_id long, start long, ids binary, slot long")
+    rows = made.mapInPandas(place, "doc_id long, start long, ids binary, slot long")
     rows = rows.repartitionById(shards, F.expr(f"cast(slot div {per_shard} as int)")).sortWithinPartitions("slot")
     rows.mapInPandas(record, "rec binary").select(F.col("rec").cast("string").alias("value")).write.option("lineSep", "\n").text(out)
     return read(spark, out, seq_len, per_shard)

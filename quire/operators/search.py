@@ -193,8 +193,10 @@ def snippets(p: DataFrame, word: str, width: int = SNIPPET) -> DataFrame:
 
 
 def statistics(p: DataFrame) -> DataFrame:
-    """(term, df, cf, idf) of the corpus (Q06)."""
-    d = index(p).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").cast("long").alias("cf"))
+    """(term, df, cf, idf) of the corpus (Q06). Terms are counted with map-side sums; no positions are made."""
+    t = p.select(T.terms(F.col("text")).alias("t"))
+    rows = t.select(F.inline(F.transform("t", lambda x, i: F.named_struct(F.lit("term"), x, F.lit("first"), F.array_position("t", x) == i + 1))))
+    d = rows.groupBy("term").agg(F.count_if("first").alias("df"), F.count("*").alias("cf"))
     return d.crossJoin(F.broadcast(p.agg(F.count("*").alias("N")))).select("term", "df", "cf", F.round(F.ln((F.col("N") - F.col("df") + 0.5) / (F.col("df") + 0.5)), 6).alias("idf"))
 
 

@@ -73,8 +73,9 @@ def notes(conversations: DataFrame) -> DataFrame:
 
 def read_log(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """(good lines, damaged lines) of a log of JSON lines; blank lines are skipped, a bad line never hides the good ones."""
-    raw = spark.read.schema(f"{schema}, _bad string").option("columnNameOfCorruptRecord", "_bad").json(path)
-    return raw.where("_bad is null").drop("_bad"), raw.where("_bad is not null").select(F.col("_bad").alias("line"))
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
+    raw = spark.read.text(path).where("trim(value) <> ''").select("value", F.from_json("value", f"{schema}, _bad string", options).alias("r"))
+    return raw.where("r._bad is null").select("r.*").drop("_bad"), raw.where("r._bad is not null").select(F.col("value").alias("line"))
 
 
 def read_strict(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -84,7 +85,7 @@ def read_strict(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def read_chapters(spark: SparkSession, root: str) -> DataFrame:
     """(book_id, chapter_file, text, sha256) of root/<book>/ch-*.md."""
-    files = spark.read.option("wholetext", True).text(f"{root}/*/ch-*.md").select("value", F.col("_metadata.file_path").alias("path"))
+    files = spark.read.text(f"{root}/*/ch-*.md", wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
     return files.select(F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("book_id"), F.regexp_extract("path", r"[^/]+$", 0).alias("chapter_file"), F.regexp_replace("value", "\r\n?", "\n").alias("text"), F.sha2("value", 256).alias("sha256"))
 
 

@@ -131,9 +131,9 @@ def pack(docs: DataFrame, path: str | None = None, shard_tokens: int = SHARD_TOK
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc, squeeze, end = tokens.encoder(path), zstandard.ZstdCompressor(level=3), np.array([tokens.END], "<u4").tobytes()
         for pdf in batches:
-            blobs = [b + end for b in enc.many(pdf["text"].tolist())]
-            packed = [squeeze.compress(np.frombuffer(b, "<u4").astype("<u2").tobytes()) for b in blobs]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "n": [len(b) // 4 for b in blobs], "crc": [zlib.crc32(b) for b in blobs], "ids": packed})
+            rows = [(len(b) // 4, zlib.crc32(b), squeeze.compress(np.frombuffer(b, "<u4").astype("<u2").tobytes())) for b in (ids + end for ids in enc.many(pdf["text"].tolist()))]
+            out = pd.DataFrame(rows, columns=["n", "crc", "ids"])
+            yield out.assign(doc_id=pdf["doc_id"].astype("Int64").to_numpy())[["doc_id", "n", "crc", "ids"]].astype({"doc_id": "Int64"})
 
     def frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         df = np.zeros(size, np.int64)

@@ -40,12 +40,12 @@ class Encoder:
 
     It drops white space, lowers case and never merges over white space or between letters, digits and marks. So a text's ids
     are those of its blank-separated chunks in turn, a chunk's those of its pieces. Distinct chunks of many texts are
-    found by dictionary encoding; chunks and pieces seen before come from caches of at most `keep` entries; new pieces
-    are encoded in one call. Texts that hold a special token's opening, and chunks whose normal form is another, go to
+    found by dictionary encoding; pieces seen before come from a cache of at most `keep` entries, and chunks from one of
+    half as many; new pieces are encoded in one call. Texts that hold a special token's opening, and chunks whose normal form is another, go to
     the tokenizer as they are.
     """
 
-    def __init__(self, path: str, keep: int = 500_000) -> None:
+    def __init__(self, path: str, keep: int = 400_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.keep = Tokenizer.from_file(path), keep
@@ -82,7 +82,7 @@ class Encoder:
         flat = lists.flatten().dictionary_encode()
         names, at = flat.dictionary.to_pylist(), flat.indices.to_numpy(zero_copy_only=False)
         new = [c for c in names if c not in self.chunks]
-        if len(self.chunks) + len(new) > self.keep:
+        if len(self.chunks) + len(new) > self.keep // 2:
             self.chunks, new = {}, names
         self._learn(new)
         blobs = [self.chunks[c] for c in names]
@@ -117,16 +117,14 @@ class Encoder:
             out += [len(self._whole(t)) // 4 if o else k for t, o, k in zip(group, odd, n, strict=True)]
         return out
 
-    def many(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit bytes; null ones are empty."""
-        out = []
+    def many(self, texts: list[str | None]):
+        """Ids of each text in turn as little-endian unsigned 32-bit bytes; null ones are empty. A group of texts is in memory at a time."""
         for group in self._groups(texts):
             odd = ["<|" in t for t in group]
             ids, n = self._some(["" if o else t for t, o in zip(group, odd, strict=True)], expand=True)
             ends = np.cumsum(n)
             raw = ids.astype("<u4").tobytes()
-            out += [self._whole(t) if o else raw[4 * (e - k) : 4 * e] for t, o, k, e in zip(group, odd, n.tolist(), ends.tolist(), strict=True)]
-        return out
+            yield from (self._whole(t) if o else raw[4 * (e - k) : 4 * e] for t, o, k, e in zip(group, odd, n.tolist(), ends.tolist(), strict=True))
 
 
 _encoders: dict[str, Encoder] = {}

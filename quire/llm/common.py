@@ -30,10 +30,19 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/quire/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: it cuts the lineage and survives lost executors."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+def written(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
+    """df as a table in the shared folder: it cuts the lineage and survives lost executors.
+
+    batch_rows: rows that Python workers get at a time while it is written; the session's own number comes back after.
+    """
+    path, conf, key = scratch_path(df.sparkSession, name), df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    usual = conf.get(key)
+    try:
+        if batch_rows:
+            conf.set(key, str(batch_rows))
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        conf.set(key, usual)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._quire_path = path
     return out

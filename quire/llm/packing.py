@@ -143,7 +143,7 @@ def pack(docs: DataFrame, path: str | None = None, shard_tokens: int = SHARD_TOK
         at = np.flatnonzero(df)
         yield pd.DataFrame({"token": at, "df": df[at]})
 
-    made = common.written(docs.select("doc_id", "text").mapInPandas(encode, "doc_id long, n long, crc long, ids binary"), "ids")
+    made = common.written(docs.select("doc_id", "text").mapInPandas(encode, "doc_id long, n long, crc long, ids binary"), "ids", batch_rows=1000)
     total, count = made.agg(F.sum("n"), F.count("*")).first()
     if not count:
         return docs.sparkSession.createDataFrame([], SCHEMA)

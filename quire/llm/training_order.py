@@ -97,7 +97,7 @@ def materialise(docs: DataFrame, out: str, seq_len: int = 2048, per_shard: int =
         if rows:
             yield frame()
 
-    made = common.written(docs.select("doc_id", "text").mapInPandas(cut, "part int, nth long, doc_id long, start long, ids binary"), "sequences")
+    made = common.written(docs.select("doc_id", "text").mapInPandas(cut, "part int, nth long, doc_id long, start long, ids binary"), "sequences", batch_rows=1000)
     counts = dict(sorted((r.part, r["count"]) for r in made.groupBy("part").count().collect()))
     base = dict(zip(counts, accumulate(counts.values(), initial=0), strict=False))
     total = sum(counts.values())

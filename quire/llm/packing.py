@@ -22,13 +22,19 @@ WINDOW, SHARD_TOKENS, QUERY_TERMS = 4096, 1_000_000, 16
 K1, B = 1.2, 0.75
 
 
+#: Room for _terms, clean between calls.
+_SEEN, _SLOT = np.zeros(tokens.VOCABULARY_SIZE, bool), np.zeros(tokens.VOCABULARY_SIZE, np.int32)
+
+
 def _terms(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ids, and the distinct ones with their counts, the END left out."""
+    """Ids, and the distinct ones in order with their counts, the END left out."""
     import zstandard
 
-    ids = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), "<u2").astype("<u4")
-    t, n = np.unique(ids[:-1], return_counts=True)
-    return ids, t, n
+    ids = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), "<u2")
+    _SEEN[ids[:-1]] = True
+    t = np.flatnonzero(_SEEN)
+    _SEEN[t], _SLOT[t] = False, np.arange(len(t))
+    return ids.astype("<u4"), t.astype("<u4"), np.bincount(_SLOT[ids[:-1]], minlength=len(t))
 
 
 def _weights(t: np.ndarray, n: np.ndarray, length: int, df: np.ndarray, docs: int, mean: float) -> np.ndarray:

@@ -22,19 +22,13 @@ WINDOW, SHARD_TOKENS, QUERY_TERMS = 4096, 1_000_000, 16
 K1, B = 1.2, 0.75
 
 
-#: Room for _terms, clean between calls.
-_SEEN, _SLOT = np.zeros(tokens.VOCABULARY_SIZE, bool), np.zeros(tokens.VOCABULARY_SIZE, np.int32)
-
-
 def _terms(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ids, and the distinct ones in order with their counts, the END left out."""
+    """Ids, and the distinct ones with their counts, the END left out."""
     import zstandard
 
-    ids = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), "<u2")
-    _SEEN[ids[:-1]] = True
-    t = np.flatnonzero(_SEEN)
-    _SEEN[t], _SLOT[t] = False, np.arange(len(t))
-    return ids.astype("<u4"), t.astype("<u4"), np.bincount(_SLOT[ids[:-1]], minlength=len(t))
+    ids = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), "<u2").astype("<u4")
+    t, n = np.unique(ids[:-1], return_counts=True)
+    return ids, t, n
 
 
 def _weights(t: np.ndarray, n: np.ndarray, length: int, df: np.ndarray, docs: int, mean: float) -> np.ndarray:
@@ -166,7 +160,9 @@ def pack(docs: DataFrame, path: str | None = None, shard_tokens: int = SHARD_TOK
                 found.append(_topic(t, _weights(t, n, len(ids), df, count, mean), df))
             yield pdf.assign(topic=np.array(found, np.int32))
 
-    sums = made.select("ids", "n").mapInPandas(topics, "ids binary, n long, topic int").groupBy("topic").agg(F.sum("n").alias("n")).collect()
+    told = common.written(made.mapInPandas(topics, "doc_id long, n long, crc long, ids binary, topic int"), "topics")
+    common.discard(made)
+    sums = told.groupBy("topic").agg(F.sum("n").alias("n")).collect()
     first, parts, shard, room = {}, {}, -1, 0
     for topic, n in sorted((r.topic, r.n) for r in sums):
         if n > shard_tokens:
@@ -178,7 +174,7 @@ def pack(docs: DataFrame, path: str | None = None, shard_tokens: int = SHARD_TOK
             first[topic], parts[topic], room = shard, 1, room - n
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in topics(batches):
+        for pdf in batches:
             key = (pdf["doc_id"].fillna(-1).to_numpy("int64").view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ pdf["crc"].to_numpy("uint64")) >> np.uint64(7)
             lo, k = pdf["topic"].map(first).to_numpy("int64"), pdf["topic"].map(parts).to_numpy("uint64")
             yield pdf.drop(columns="topic").assign(shard=lo + (key % k).astype(np.int64))
@@ -198,5 +194,5 @@ def pack(docs: DataFrame, path: str | None = None, shard_tokens: int = SHARD_TOK
         out["sequence_id"] += int(pdf["shard"].iloc[0]) << 32
         return out[[x.split()[0] for x in SCHEMA.split(", ")]].astype({"doc_id": "Int64"})
 
-    dealt = made.mapInPandas(deal, "doc_id long, n long, crc long, ids binary, shard long")
+    dealt = told.mapInPandas(deal, "doc_id long, n long, crc long, ids binary, shard long")
     return dealt.groupBy("shard").applyInPandas(run, SCHEMA)

@@ -15,7 +15,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of each group of near copies, on shingles of five words."""
+    """The smallest doc_id of each group of near copies, on shingles of five words and a similarity of 0.8 or more."""
     return simhash.deduplicated(docs, words=5)
 
 

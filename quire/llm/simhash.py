@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, resemblance
 
 BITS = 2
 #: (lowest bit, width) of the ring's segments.
@@ -100,9 +100,17 @@ def near_duplicates(docs: DataFrame, words: int = 3, heavy: int = HEAVY) -> Data
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def deduplicated(docs: DataFrame, words: int = 3, heavy: int = HEAVY) -> DataFrame:
-    """One row of docs for each component: that of its smallest doc_id (of rows that share it, one; rows without a doc_id stay)."""
-    near = near_duplicates(docs, words, heavy)
-    gone = near.where("doc_id <> component_id").select("doc_id").distinct()
+def deduplicated(docs: DataFrame, words: int = 5, heavy: int = HEAVY, similarity: float = resemblance.SIMILARITY) -> DataFrame:
+    """One row of docs for each component of near duplicates: that of its smallest doc_id (of rows that share it, one; rows without a doc_id stay).
+
+    Components join what near_duplicates() links and what resembles by `similarity` or more in word shingles; the
+    fingerprints alone reach closer copies only.
+    """
+    near = near_duplicates(docs, words, heavy).where("doc_id is not null").select("doc_id", "component_id")
+    member, pairs = resemblance.links(docs, words, similarity)
+    groups = common.written(near.join(member, "doc_id", "left").select("doc_id", "component_id", F.coalesce("rep", "doc_id").alias("rep")).distinct(), "groups")
+    parts = common.components(groups.where("component_id <> rep").select(F.col("component_id").alias("a"), F.col("rep").alias("b")).unionByName(pairs))
+    last = groups.join(parts, groups.rep == parts.node, "left").select("doc_id", F.coalesce("component", "rep").alias("least"))
+    gone = last.where("doc_id <> least").select("doc_id").distinct()
     left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     return left.where("doc_id is null").unionByName(left.where("doc_id is not null").dropDuplicates(["doc_id"]))

@@ -496,6 +496,30 @@ def test_chain_is_the_best_one():
             assert all(x[a] < x[b] and y[a] < y[b] for a, b in itertools.pairwise(path))
 
 
+def test_chains_hold_every_passage():
+    rng = random.Random(4)
+    for first, gap, second in ((200, 70, 60), (200, 100, 60), (1000, 100, 400), (100, 70, 60)):
+        far = first + gap
+        x = np.array([*range(0, first, 7), *range(far, far + second, 7)])
+        got = chaining.chain(x, x + rng.randrange(50), 6)
+        assert sorted((x[p[0]], x[p[-1]]) for p in got) == [(0, (first - 1) // 7 * 7), (far, far + (second - 1) // 7 * 7)]
+
+
+def test_chain_scores_by_all_pairs():
+    rng = random.Random(6)
+    for _ in range(200):
+        n, k, gap = rng.randrange(1, 40), 4, 9
+        points = sorted({(rng.randrange(30), rng.randrange(30)) for _ in range(n)} | {(i, i + 3) for i in range(rng.randrange(12))})
+        score = []
+        for x, y in points:
+            before = [score[j] + min(k, x - a, y - b) - 0.1 * (x - a + y - b) for j, (a, b) in enumerate(points[: len(score)]) if 0 < x - a <= gap + k and 0 < y - b <= gap + k]
+            score.append(max([k, *before]))
+        x, y = np.array(points).T
+        path = chaining.chain(x, y, k, gap)[0]
+        got = k + sum(min(k, x[b] - x[a], y[b] - y[a]) - 0.1 * (x[b] - x[a] + y[b] - y[a]) for a, b in itertools.pairwise(path))
+        assert abs(got - max(score)) < 1e-9
+
+
 def test_distance():
     rng = random.Random(8)
     for _ in range(50):

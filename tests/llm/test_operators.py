@@ -520,6 +520,36 @@ def test_chain_scores_by_all_pairs():
         assert abs(got - max(score)) < 1e-9
 
 
+def test_fuzzy_passages_are_found():
+    rng = np.random.default_rng(3)
+
+    def whole(same):  # by brute force: 50 words at 0.8 of which no start or end is below that
+        up = np.concatenate([[0], np.cumsum(np.where(same, 1, -4))])
+        return any((up[s : e + 1] >= up[s]).all() and (up[s : e + 1] <= up[e]).all() for s in range(len(same)) for e in range(s + 50, len(same) + 1))
+
+    for size, like in ((60, 0.9), (60, 0.85), (60, 0.82), (100, 0.82), (200, 0.82)):
+        found = there = 0
+        for _ in range(100):
+            shared = rng.integers(0, 2**32, size, dtype=np.uint32)
+            changed = shared.copy()
+            changed[rng.choice(size, int(size * (1 - like) + 1e-9), replace=False)] = rng.integers(0, 2**32, int(size * (1 - like) + 1e-9))
+            there += whole(shared == changed)
+            a, b = (np.concatenate([rng.integers(0, 2**32, n, dtype=np.uint32), w, rng.integers(0, 2**32, 40, dtype=np.uint32)]) for n, w in ((30, shared), (80, changed)))
+            (p, g), (q, h) = chaining.minimizers(a), chaining.minimizers(b)
+            _, i, j = np.intersect1d(g, h, return_indices=True)
+            chains = [path for path in chaining.chain(p[i], q[j]) if len(path) > 1] if len(i) else []
+            found += any(e - s >= 50 for path in chains for s, e, *_ in chaining.align(a, b, *chaining.ends(p[i][path], q[j][path]), chaining.K, 50, 0.8))
+        assert found >= there > 0, (size, like, found, there)
+
+
+def test_seeds_are_left_by_any_edits():
+    for at in ([4 + 5 * i for i in range(10)], [3 + 4 * i for i in range(10)], list(range(20, 30))):
+        a = np.arange(50, dtype=np.uint32)
+        b = a.copy()
+        b[at] += 1000
+        assert len(set(chaining.minimizers(a)[1]) & set(chaining.minimizers(b)[1])) >= 7
+
+
 def test_distance():
     rng = random.Random(8)
     for _ in range(50):

@@ -550,6 +550,35 @@ def test_seeds_are_left_by_any_edits():
         assert len(set(chaining.minimizers(a)[1]) & set(chaining.minimizers(b)[1])) >= 7
 
 
+def test_passages_whose_parts_stand_earlier(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choices("abcdefghij", k=5))
+    fill = lambda n: [word() for _ in range(n)]
+    docs, held, n = {}, [], 0
+    for size, part in ((60, 48), (55, 45), (70, 49), (50, 49), (60, 20)):
+        shared = fill(size)
+        docs |= {n: fill(20) + shared[:part] + fill(20), n + 1: fill(30) + shared + fill(9), n + 2: fill(5) + shared[size - 30 :] + fill(70) + shared[:30] + fill(9), n + 3: fill(12) + shared + fill(25)}
+        held.append((n + 3, n + 1, 12, 12 + size))
+        n += 4
+    lines = [fill(10) for _ in range(8)]
+    docs |= {n + i: fill(20) + line + fill(20) for i, line in enumerate(lines)}
+    n += len(lines)
+    whole = sum(lines, [])
+    docs |= {n: fill(9) + whole, n + 1: fill(5) + lines[3] + fill(9) + lines[6], n + 2: fill(3) + whole + fill(9)}
+    held.append((n + 2, n, 3, 3 + len(whole)))
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in docs.items()], "doc_id long, text string")
+    got = {(r.doc_id, r.source_doc_id, r.start_word, r.end_word) for r in chaining.passages(df).collect()}
+    assert got == set(held)
+
+
+def test_passages_of_one_word(spark):
+    docs = {1: ["x"] + ["a"] * 70 + ["y"], 2: ["b"] + ["a"] * 200 + ["c"], 3: ["d"] * 9 + ["a"] * 130}
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in docs.items()], "doc_id long, text string")
+    got = chaining.passages(df).collect()
+    for doc, start, end in ((2, 1, 201), (3, 9, 139)):
+        assert all(any(r.doc_id == doc and r.start_word <= i and i + 50 <= r.end_word for r in got) for i in range(start, end - 49))
+
+
 def test_distance():
     rng = random.Random(8)
     for _ in range(50):

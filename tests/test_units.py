@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quire.functions import text as T
 from quire.functions import udfs
 from quire.operators import cards, fsrs, publish, records, search
+from quire.plans import catalog
 from quire.sources import views as V
 from quire.streaming import logs
 
@@ -139,6 +140,13 @@ def test_realignment(spark):
     assert got == {1: 1, 2: 2, 4: 4}
 
 
+def test_long_documents_are_realigned(spark, tmp_path):
+    text = "\n".join(f"Line {i} of a long text, with the words {i * 7919 % 10007} and {i * 104729 % 10009}." for i in range(900))
+    spark.createDataFrame([(1, text, "long"), (2, "One line.", "short")], "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = catalog.QUERIES["paragraph_realign_fuzzy"](spark, str(tmp_path)).groupBy("book_id").count().collect()
+    assert {r.book_id: r["count"] for r in got} == {"long": 675, "short": 1}
+
+
 def test_snapshot_differences(spark):
     m = spark.createDataFrame([("a", "1"), ("b", "2"), ("c", "3")], "path string, sha256 string")
     f = spark.createDataFrame([("a", "1"), ("b", "9"), ("d", "4")], "path string, sha256 string")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -203,20 +205,67 @@ def statistics(p: DataFrame) -> DataFrame:
 def relocate(docs: DataFrame, quotes: DataFrame, gram: int = 6) -> DataFrame:
     """(item_id, chapter, start_word, end_word): each place where a quote's words stand in a chapter, whatever the blanks (Q15, Q16).
 
-    Quotes meet texts by the hash of their first `gram` words, so there is no pairwise comparison; shorter quotes take no
-    part. Keys are broadcast where few, and joined by shuffle where not.
+    Quotes meet texts by the hash of their first `gram` words, shorter ones by that of all their words, so there is no
+    pairwise comparison; quotes without words take no part. Keys are broadcast where few, and joined by shuffle where not.
     """
     words = lambda c: F.filter(F.split(c, r"\s+", -1), lambda w: w != "")
-    d = docs.select(F.col("doc_id").alias("chapter"), words(F.col("text")).alias("w")).where(F.size("w") >= gram)
-    q = quotes.select("item_id", words(F.col("text")).alias("q")).where(F.size("q") >= gram)
-    q = q.withColumn("key", F.xxhash64(F.slice("q", 1, gram)))
-    first = q.select("key").distinct()
-    at = F.transform(F.sequence(F.lit(1), F.size("w") - gram + 1), lambda i: F.struct(F.xxhash64(F.slice("w", i, gram)).alias("key"), i.alias("i")))
-    grams = d.select("chapter", F.inline(at)).join(F.broadcast(first) if few(first) else first, "key", "left_semi")
-    hits = grams.join(q, "key").join(d, "chapter").where(F.expr("slice(w, i, size(q)) = q"))
+    d = docs.select(F.col("doc_id").alias("chapter"), words(F.col("text")).alias("w"))
+    q = quotes.select("item_id", words(F.col("text")).alias("q")).where(F.size("q") > 0)
+    q = q.withColumn("n", F.least(F.size("q"), F.lit(gram)))
+    q = q.withColumn("key", F.xxhash64(F.expr("slice(q, 1, n)")))
+    first = q.select("n", "key").distinct()
+    sizes = [r["n"] for r in q.select("n").distinct().collect()]  # `gram` at most
+
+    def keyed(n: int) -> Column:
+        starts = F.when(F.size("w") >= n, F.sequence(F.lit(1), F.size("w") - n + 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.struct(F.lit(n).alias("n"), F.xxhash64(F.slice("w", i, n)).alias("key"), i.alias("i")))
+
+    at = [keyed(n) for n in sorted(sizes)]
+    at = F.concat(*at) if at else F.array().cast("array<struct<n:int,key:bigint,i:int>>")
+    grams = d.select("chapter", F.inline(at)).join(F.broadcast(first) if few(first) else first, ["n", "key"], "left_semi")
+    hits = grams.join(q, ["n", "key"]).join(d, "chapter").where(F.expr("slice(w, i, size(q)) = q"))
     return hits.select("item_id", "chapter", F.col("i").cast("long").alias("start_word"), (F.col("i") + F.size("q")).cast("long").alias("end_word"))
 
 
+#: What \s is in JavaScript.
+SPACE = "[\\t-\\r \\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000\\ufeff]"
+
+
+def place(docs: DataFrame, highlights: DataFrame) -> DataFrame:
+    """(item_id, chapter, start, end): where each highlight (item_id, chapter, exact, prefix, suffix) shows in its chapter's text, from 0 (Q15).
+
+    Characters without white space are matched, so a highlight may be of any length and start or end inside a word; of
+    several copies the one with most characters of the prefix before and of the suffix after it counts, the first of equals.
+    """
+    h = highlights.groupBy("chapter").agg(F.collect_list(F.struct("item_id", "exact", "prefix", "suffix")).alias("h"))
+    j = docs.select(F.col("doc_id").alias("chapter"), "text").where("text is not null").join(h, "chapter")
+    bare = lambda t: re.sub(SPACE, "", t or "")
+
+    def alike(pairs) -> int:
+        return sum(1 for _ in itertools.takewhile(lambda p: p[0] == p[1], pairs))
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for chapter, text, rows in zip(pdf["chapter"], pdf["text"], pdf["h"], strict=True):
+                places = [i for i, c in enumerate(text) if not re.match(SPACE, c)]
+                shown = "".join(text[i] for i in places)
+                for r in rows:
+                    exact, prefix, suffix = bare(r["exact"]), bare(r["prefix"])[::-1], bare(r["suffix"])
+                    best, most, at = -1, -1, shown.find(exact) if exact else -1
+                    while at >= 0 and most < len(prefix) + len(suffix):
+                        end = at + len(exact)
+                        score = alike(zip(prefix, shown[max(0, at - len(prefix)) : at][::-1])) + alike(zip(suffix, shown[end : end + len(suffix)]))
+                        if score > most:
+                            best, most = at, score
+                        at = shown.find(exact, at + 1)
+                    if best >= 0:
+                        out.append((r["item_id"], chapter, places[best], places[best + len(exact) - 1] + 1))
+            yield pd.DataFrame(out, columns=["item_id", "chapter", "start", "end"])
+
+    return j.mapInPandas(run, f"item_id {highlights.schema['item_id'].dataType.simpleString()}, chapter long, start long, end long")
+
+
 def few(rows: DataFrame, most: int = 100_000) -> bool:
     """Whether there are few enough rows to broadcast."""
     return rows.limit(most + 1).count() <= most

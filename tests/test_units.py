@@ -158,6 +158,23 @@ def test_realignment_looks_in_the_whole_stretch(spark):
     assert not any(r.book_id == "window" for r in got)  # 41,000 pairs
 
 
+def test_quotes_of_any_length(spark):
+    docs = spark.createDataFrame([(1, "one two  three\nfour five six seven one two"), (2, "two"), (3, "")], "doc_id long, text string")
+    quotes = spark.createDataFrame([(1, "two"), (2, "two three"), (3, "two three four five six seven"), (4, " "), (5, "five seven"), (6, "one two")], "item_id long, text string")
+    got = sorted(tuple(r) for r in search.relocate(docs, quotes).collect())
+    assert got == [(1, 1, 2, 3), (1, 1, 9, 10), (1, 2, 1, 2), (2, 1, 2, 4), (3, 1, 2, 8), (6, 1, 1, 3), (6, 1, 8, 10)]
+    assert search.relocate(docs, quotes.where("item_id = 4")).count() == 0
+
+
+def test_highlights_are_placed(spark):
+    text = "A cat sat. The  cat\nsat down; another cat sat."
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    rows = [("first", 1, "cat sat", "", ""), ("prefix", 1, "cat sat", "sat. The", ""), ("suffix", 1, "catsat", "", " down"), ("inside", 1, "noth", "", ""), ("both", 1, "cat sat", "other", "."), ("gone", 1, "dog", "", ""), ("empty", 1, " ", "", "")]
+    got = {r.item_id: (r.start, r.end) for r in search.place(docs, spark.createDataFrame(rows, "item_id string, chapter long, exact string, prefix string, suffix string")).collect()}
+    assert {k: text[a:b] for k, (a, b) in got.items()} == {"first": "cat sat", "prefix": "cat\nsat", "suffix": "cat\nsat", "inside": "noth", "both": "cat sat"}
+    assert got["first"][0] == 2 and got["both"][0] == text.rindex("cat")
+
+
 def test_snapshot_differences(spark):
     m = spark.createDataFrame([("a", "1"), ("b", "2"), ("c", "3")], "path string, sha256 string")
     f = spark.createDataFrame([("a", "1"), ("b", "9"), ("d", "4")], "path string, sha256 string")

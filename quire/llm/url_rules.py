@@ -39,32 +39,33 @@ def listed(rules=RULES) -> tuple[Column, Column]:
 
 
 def url_tokens(url: Column) -> Column:
-    """At most ten tokens of a URL: scheme, top and second-level domain, first label, first path part, extension, up to two query keys, fragment, depth. Null or empty: none."""
+    """Distinct tokens of a URL: scheme, top and second-level domain, every label before it, every path part, extension, every query key, fragment, depth. Null or empty: none."""
     labels = F.split(F.col("host"), r"\.")
     n = F.size(labels)
     parts = F.filter(F.split(F.col("path"), "/"), lambda x: x != "")
     query = F.regexp_extract(url, r"\?([^#]*)", 1)
-    keys = F.slice(F.array_sort(F.array_distinct(F.filter(F.split(query, "[&;]"), lambda x: x != ""))), 1, 2)
+    keys = F.filter(F.split(query, "[&;]"), lambda x: x != "")
     number = r"^\d+(\.\w+)?$"
     found = F.array(
         F.concat(F.lit("scheme="), F.lower(F.regexp_extract(url, r"^([A-Za-z]+)://", 1))),
         F.concat(F.lit("top="), F.element_at(labels, -1)),
         F.when(n >= 2, F.concat(F.lit("domain="), F.concat_ws(".", F.slice(labels, F.greatest(n - 1, F.lit(1)), 2)))),
-        F.when(n >= 3, F.concat(F.lit("label="), F.element_at(labels, 1))),
-        F.when(F.size(parts) > 0, F.concat(F.lit("part="), F.when(F.element_at(F.concat(parts, F.array(F.lit(""))), 1).rlike(number), F.lit("#")).otherwise(F.element_at(F.concat(parts, F.array(F.lit(""))), 1)))),
         F.concat(F.lit("ext="), F.lower(F.regexp_extract(F.col("path"), r"\.(\w{1,5})$", 1))),
         F.when(url.contains("#"), F.lit("fragment")),
         F.concat(F.lit("depth="), F.least(F.size(parts), F.lit(4)).cast("string")),
     )
     keys = F.transform(keys, lambda k: F.concat(F.lit("query="), F.regexp_extract(k, "^([^=]*)", 1)))
-    found = F.array_distinct(F.concat(F.array_compact(found), keys))
+    names = F.transform(F.slice(labels, 1, F.greatest(n - 2, F.lit(0))), lambda x: F.concat(F.lit("label="), x))
+    folders = F.transform(parts, lambda x: F.concat(F.lit("part="), F.when(x.rlike(number), F.lit("#")).otherwise(x)))
+    found = F.array_distinct(F.concat(F.array_compact(found), names, folders, keys))
     return F.when(F.col("host") == "", F.array().cast("array<string>")).otherwise(F.array_sort(found))
 
 
 def mine(rows: DataFrame, min_support: float = 0.002, min_confidence: float = 0.7) -> DataFrame:
     """Rules (tokens, rule_class, confidence, support, anchor) from rows (tokens, label); label is block or allow.
 
-    Itemsets are bounded by 2^11 / min_support whatever the input's size, as a URL has ten tokens at most.
+    Tokens below min_support are dropped first. The number of itemsets does not grow with the input, but doubles with each
+    token that many URLs share.
     """
     spark = rows.sparkSession
     baskets = rows.where("label is not null and size(tokens) > 0").select(F.concat("tokens", F.array(F.concat(F.lit("@"), "label"))).alias("items"))

@@ -158,6 +158,16 @@ def test_url_rules_are_those_of_all_combinations(spark):
         assert r.verdict == (max(fits)[3] if fits else "allow")
 
 
+def test_url_rules_see_the_whole_url(spark):
+    bad = ("http://a.site.com/en/casino/{}", "http://a.site.com/en/x?a={}&b=1&spam=1", "http://w.ads.b.site.com/en/{}")
+    good = ("http://a.site.com/en/news/{}", "http://a.site.com/en/x?a={}&b=1&time=1", "http://w.text.b.site.com/en/{}")
+    rows = [(i, (bad if i % 2 else good)[i // 2 % 3].format(i), i % 2) for i in range(240)]
+    pages = spark.createDataFrame([r[:2] for r in rows], "page_id long, url string")
+    labels = spark.createDataFrame([(r[0], 1 - r[2], 0) for r in rows if r[0] < 200], "doc_id long, quality int, toxic int")
+    got = {r.page_id: r.verdict for r in url_rules.judge(pages, labels, 0.05, 0.7, rules=()).collect()}
+    assert got == {i: "block" if b else "allow" for i, _, b in rows}
+
+
 # 3
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,9 +20,11 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from spark.checkpoint.dir; a local one is set only where that is unset."""
+    """The folder all executors share, from spark.checkpoint.dir. Where that is unset, a local one is made on a local master, and on a cluster it is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="quire-shared-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -30,19 +34,31 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/quire/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
-    """df as a table in the shared folder: it cuts the lineage and survives lost executors.
+@contextmanager
+def batches_of(spark: SparkSession, rows: int | None) -> Iterator[None]:
+    """Python workers get `rows` rows at a time while the block runs; the session's own number comes back after.
 
-    batch_rows: rows that Python workers get at a time while it is written; the session's own number comes back after.
+    Other queries that start meanwhile in the same session get batches of that size too, which changes no result.
     """
-    path, conf, key = scratch_path(df.sparkSession, name), df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    usual = conf.get(key)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    usual = spark.conf.get(key)
     try:
-        if batch_rows:
-            conf.set(key, str(batch_rows))
-        df.write.option("compression", "zstd").parquet(path)
+        if rows:
+            spark.conf.set(key, str(rows))
+        yield
     finally:
-        conf.set(key, usual)
+        spark.conf.set(key, usual)
+
+
+#: Rows of texts that a Python worker gets at a time: with 10,000, the usual number, long texts take hundreds of MB.
+BATCH_ROWS = 1_000
+
+
+def written(df: DataFrame, name: str, batch_rows: int | None = BATCH_ROWS) -> DataFrame:
+    """df as a table in the shared folder: it cuts the lineage and survives lost executors. batch_rows: see batches_of()."""
+    path = scratch_path(df.sparkSession, name)
+    with batches_of(df.sparkSession, batch_rows):
+        df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._quire_path = path
     return out

@@ -5,11 +5,12 @@ range partitions of slots are written as shards whose records all have one lengt
 (s % per_shard) * stride of shard s // per_shard and reading can resume anywhere.
 
 Record (little-endian): slot i64, doc_id i64 (of the first token), start i64 (that token's place in its document),
-length u32, then seq_len ids (u16 where the vocabulary allows, else u32) padded with zeros, then one newline byte.
+length u32, then seq_len ids (u16) padded with zeros, then one newline byte.
 """
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -18,13 +19,14 @@ from itertools import accumulate
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common, tokens
 
 HEAD, HEAD_BYTES = "<qqqI", 28
 NO_ID = -(2**63)
+WIDTH, SIZE = "<u2", 2
 ROUNDS = 6
 
 
@@ -55,16 +57,16 @@ def permute(index: np.ndarray, n: int, key: int, inverse: bool = False) -> np.nd
 
 def _streams(batches: Iterator[pd.DataFrame], path: str, seq_len: int) -> Iterator[tuple[int, int, bytes]]:
     """(doc_id, start, ids) of the sequences of a partition's token stream, each document ended by END."""
-    enc, end = tokens.encoder(path), np.array([tokens.END], "<u4").tobytes()
+    enc, end = tokens.encoder(path), np.array([tokens.END], WIDTH).tobytes()
     parts, have, first = [], 0, None
     for pdf in batches:
         for doc_id, ids in zip(pdf["doc_id"], enc.many(pdf["text"].tolist()), strict=True):
-            ids += end
-            doc_id, at, n = NO_ID if doc_id is None or doc_id != doc_id else int(doc_id), 0, len(ids) // 4
+            ids = ids.astype(WIDTH).tobytes() + end
+            doc_id, at, n = NO_ID if doc_id is None or doc_id != doc_id else int(doc_id), 0, len(ids) // SIZE
             while at < n:
                 first = first or (doc_id, at)
                 take = min(n - at, seq_len - have)
-                parts.append(ids[4 * at : 4 * (at + take)])
+                parts.append(ids[SIZE * at : SIZE * (at + take)])
                 at, have = at + take, have + take
                 if have == seq_len:
                     yield *first, b"".join(parts)
@@ -73,23 +75,31 @@ def _streams(batches: Iterator[pd.DataFrame], path: str, seq_len: int) -> Iterat
         yield *first, b"".join(parts)
 
 
-def materialise(docs: DataFrame, out: str, seq_len: int = 2048, per_shard: int = 2048, key: int = 20_240_607, path: str | None = None) -> DataFrame:
+def shard_records(total: int, least: int = 2048, most: int = 65_536, shards: int = 10_000) -> int:
+    """Records of a shard: `least`, doubled while there would be more than so many shards, up to `most`, so a shard always fits in memory."""
+    while least < most and total > least * shards:
+        least *= 2
+    return least
+
+
+def materialise(docs: DataFrame, out: str, seq_len: int = 2048, per_shard: int | None = None, key: int = 20_240_607, path: str | None = None) -> DataFrame:
     """Writes the shards of docs (doc_id, text) to the folder `out` and returns what read() finds there.
 
-    Sequences are cut once and written to the shared folder, which fixes their order; only their counts by partition
-    come to the driver. Null texts are empty (a lone END); a null doc_id stays null; repeated rows are kept; other
-    columns are ignored; an empty table gives no shard.
+    Sequences are cut once, in the order in which the input's partitions come, and written to the shared folder, which
+    fixes their order; so another division into partitions gives other sequences and slots. Only their counts by partition
+    come to the driver. per_shard: by default what shard_records() says. Null texts are empty (a lone END); very long texts
+    run over as many sequences as they need; a null doc_id stays null; repeated rows are kept, each with its own
+    tokens; other columns are ignored; an empty table gives no shard.
     """
     import zstandard
 
     spark, path = docs.sparkSession, path or tokens.default_path()
-    width = "<u2" if tokens.VOCABULARY_SIZE <= 2**16 else "<u4"
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part, squeeze, rows, n = TaskContext.get().partitionId(), zstandard.ZstdCompressor(level=3), [], 0
         frame = lambda: pd.DataFrame(rows, columns=["part", "nth", "doc_id", "start", "ids"])
         for doc_id, start, ids in _streams(batches, path, seq_len):
-            rows.append((part, n, doc_id, start, squeeze.compress(np.frombuffer(ids, "<u4").astype(width).tobytes())))
+            rows.append((part, n, doc_id, start, squeeze.compress(ids)))
             n += 1
             if len(rows) == 512:
                 yield frame()
@@ -97,12 +107,14 @@ def materialise(docs: DataFrame, out: str, seq_len: int = 2048, per_shard: int =
         if rows:
             yield frame()
 
-    made = common.written(docs.select("doc_id", "text").mapInPandas(cut, "part int, nth long, doc_id long, start long, ids binary"), "sequences", batch_rows=1000)
+    made = common.written(docs.select("doc_id", "text").mapInPandas(cut, "part int, nth long, doc_id long, start long, ids binary"), "sequences")
     counts = dict(sorted((r.part, r["count"]) for r in made.groupBy("part").count().collect()))
     base = dict(zip(counts, accumulate(counts.values(), initial=0), strict=False))
     total = sum(counts.values())
     if not total:
+        common.discard(made)
         return spark.createDataFrame([], SCHEMA)
+    per_shard = per_shard or shard_records(total)
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -110,31 +122,41 @@ def materialise(docs: DataFrame, out: str, seq_len: int = 2048, per_shard: int =
             yield pdf[["doc_id", "start", "ids"]].assign(slot=permute(index, total, key))
 
     def record(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        expand, size = zstandard.ZstdDecompressor(), np.dtype(width).itemsize
+        expand = zstandard.ZstdDecompressor()
         for pdf in batches:
             recs = []
             for slot, doc_id, start, ids in zip(pdf["slot"], pdf["doc_id"], pdf["start"], pdf["ids"], strict=True):
                 ids = expand.decompress(ids)
-                recs.append(struct.pack(HEAD, slot, doc_id, start, len(ids) // size) + ids.ljust(seq_len * size, b"\0"))
+                recs.append(struct.pack(HEAD, slot, doc_id, start, len(ids) // SIZE) + ids.ljust(seq_len * SIZE, b"\0"))
             yield pd.DataFrame({"rec": recs})
 
     shards = -(-total // per_shard)
     rows = made.mapInPandas(place, "doc_id long, start long, ids binary, slot long")
     rows = rows.repartitionById(shards, F.expr(f"cast(slot div {per_shard} as int)")).sortWithinPartitions("slot")
-    rows.mapInPandas(record, "rec binary").select(F.col("rec").cast("string").alias("value")).write.option("lineSep", "\n").text(out)
+    with common.batches_of(spark, common.BATCH_ROWS):
+        rows.mapInPandas(record, "rec binary").select(F.col("rec").cast("string").alias("value")).write.option("lineSep", "\n").text(out)
+    common.discard(made)
     return read(spark, out, seq_len, per_shard)
 
 
 SCHEMA = "slot long, shard long, offset long, doc_id long, start long, length long, ids_crc32 long"
 
 
-def read(spark, out: str, seq_len: int = 2048, per_shard: int = 2048, from_slot: int = 0) -> DataFrame:
-    """A row for each record from slot from_slot on: its slot, shard, byte offset, first document, length and the CRC-32 of its ids as u32."""
-    width = "<u2" if tokens.VOCABULARY_SIZE <= 2**16 else "<u4"
-    size = np.dtype(width).itemsize
-    stride = HEAD_BYTES + seq_len * size + 1
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(out)
-    files = files.select(F.regexp_extract("path", r"part-(\d+)", 1).cast("long").alias("shard"), "content").where(F.col("shard") >= from_slot // per_shard)
+def _shard_files(spark: SparkSession, out: str, least: int) -> list[str]:
+    """The shards' files from number `least` on; one listing of the folder."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(out)
+    names = [f.getPath().toString() for f in at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at)]
+    return [n for n in names if (m := re.search(r"/part-(\d+)[^/]*$", n)) and int(m[1]) >= least]
+
+
+def read(spark: SparkSession, out: str, seq_len: int = 2048, per_shard: int = 2048, from_slot: int = 0) -> DataFrame:
+    """A row for each record from slot from_slot on: its slot, shard, byte offset, first document, length and the CRC-32 of its ids as u32. Shards before from_slot's are not opened."""
+    stride = HEAD_BYTES + seq_len * SIZE + 1
+    wanted = _shard_files(spark, out, from_slot // per_shard) if from_slot else [out]
+    if not wanted:
+        return spark.createDataFrame([], SCHEMA)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(wanted)
+    files = files.select(F.regexp_extract("path", r"part-(\d+)[^/]*$", 1).cast("long").alias("shard"), "content")
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -142,7 +164,7 @@ def read(spark, out: str, seq_len: int = 2048, per_shard: int = 2048, from_slot:
                 rows = []
                 for at in range(0, len(content), stride):
                     slot, doc_id, start, n = struct.unpack_from(HEAD, content, at)
-                    ids = np.frombuffer(content, width, n, at + HEAD_BYTES).astype("<u4")
+                    ids = np.frombuffer(content, WIDTH, n, at + HEAD_BYTES).astype("<u4")
                     if slot != shard * per_shard + at // stride:
                         raise ValueError(f"shard {shard} holds slot {slot} at byte {at}")
                     rows.append((slot, shard, at, doc_id, start, n, zlib.crc32(ids.tobytes())))

@@ -17,9 +17,12 @@ from operator import eq
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common
+
 #: Documents that train the scorer; a fixed number, whatever the input's size.
 SAMPLE = 3_000
 BUCKETS = 1 << 12
@@ -27,20 +30,29 @@ LABELLERS = ("repeats", "runs", "variety", "symbols", "decorated", "plain", "cap
 _SYMBOLS, _UPPER, _LOWER = b"#$%&*|<>{}\\~^=_@", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"
 #: Letters and digits of a word's shape: A, a and 9; other bytes stay.
 _SHAPE = bytes(65 if 65 <= b <= 90 else 97 if 97 <= b <= 122 or b >= 128 else 57 if 48 <= b <= 57 else b for b in range(256))
-_DECORATED = re.compile(rb".*([!#$%&*|<>~^=_])\1+|[|#*<>~]")
+_MARKS, _BARE = b"!#$%&*|<>~^=_", b"|#*<>~"
 _PLAIN = re.compile(rb"[\"'(]?[Aa9]+(?:[-'][Aa]+)*[.,;:!?)\"']{0,2}")
 _shapes: dict[bytes, tuple[int, int, int]] = {}
+#: The cache of shapes: so many, of so many bytes at most; longer ones are worked out each time.
+_SHAPES, _SHAPE_BYTES = 100_000, 64
+
+
+def _sign(shape: bytes) -> tuple[int, int, int]:
+    """(bucket, plain, decorated) of a shape; the bucket tells runs of one sign only as one or more, and lengths by steps of six."""
+    squeezed = re.sub(rb"(.)\1+", rb"\1\1", shape, flags=re.S) + b"%d" % min(len(shape) // 6, 3)
+    decorated = shape in _BARE if len(shape) == 1 else shape[-1] == shape[-2] and shape[-1] in _MARKS
+    return zlib.crc32(squeezed) % (BUCKETS - 1), bool(_PLAIN.fullmatch(shape)), decorated
 
 
 def _signs(raw: bytes) -> list[tuple[int, int, int]]:
-    """(bucket, plain, decorated) of each word, by its shape."""
+    """_sign() of each word's shape."""
     shapes = raw.translate(_SHAPE).split()
-    if len(_shapes) > 200_000:
+    if len(_shapes) > _SHAPES:
         _shapes.clear()
-    for shape in set(shapes).difference(_shapes):
-        squeezed = re.sub(rb"(.)\1+", rb"\1\1", shape[:200])[:16] + b"%d" % min(len(shape) // 6, 3)
-        _shapes[shape] = zlib.crc32(squeezed) % (BUCKETS - 1), bool(_PLAIN.fullmatch(shape)), bool(_DECORATED.fullmatch(shape))
-    return [_shapes[s] for s in shapes]
+    new, long = set(shapes).difference(_shapes), {}
+    for shape in new:
+        (_shapes if len(shape) <= _SHAPE_BYTES else long)[shape] = _sign(shape)
+    return [_shapes[s] if s in _shapes else long[s] for s in shapes] if long else [_shapes[s] for s in shapes]
 
 
 def votes(raw: bytes, words: list[bytes]) -> tuple[int, ...]:
@@ -147,50 +159,61 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> tuple[LabelModel, np.ndarray]:
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for raw in map(_raw, pdf["text"]):
+            for o, raw in zip(pdf["o"], map(_raw, pdf["text"]), strict=True):
                 words = raw.split()
                 at, x = features(raw, words)
-                rows.append((pattern(votes(raw, words)), at.tolist(), x.tolist()))
-            yield pd.DataFrame(rows, columns=["pattern", "at", "x"])
-
-    counts = docs.select("text").mapInPandas(count, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect()
-    model = LabelModel({r.pattern: r.n for r in counts})
-    order = F.xxhash64(F.lit("quire-sample"), F.col("doc_id"), "text")
-    rows = docs.select("text", order.alias("o")).orderBy("o").limit(sample).select("text").mapInPandas(look, "pattern long, at array<int>, x array<double>").collect()
+                rows.append((o, pattern(votes(raw, words)), at.tolist(), x.tolist()))
+            yield pd.DataFrame(rows, columns=["o", "pattern", "at", "x"])
+
+    spark = docs.sparkSession
+    with common.batches_of(spark, common.BATCH_ROWS):
+        counts = docs.select("text").mapInPandas(count, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect()
+        model = LabelModel({r.pattern: r.n for r in counts})
+        # Whole texts stay where they are: a hash below a bound that is known from the count leaves a few more than the
+        # sample, surely enough by six deviations, and only their features are ordered.
+        total = sum(r.n for r in counts)
+        share = min(1.0, (sample + 6 * sample**0.5 + 36) / max(total, 1))
+        order = F.xxhash64(F.lit("quire-sample"), F.col("doc_id"), "text")
+        few = docs.select("text", order.alias("o")).where(F.col("o") <= F.lit(int(-(2**63) + share * (2**64 - 1)) if share < 1 else 2**63 - 1))
+        rows = few.mapInPandas(look, "o long, pattern long, at array<int>, x array<double>").orderBy("o", "pattern").limit(sample).collect()
     rows = [(model.posterior[r.pattern], np.array(r.at), np.array(r.x)) for r in rows]
     weights = train([(a, x) for _, a, x in rows], np.array([p for p, _, _ in rows])) if rows else np.zeros(BUCKETS + 1)
     return model, weights
 
 
-def score(docs: DataFrame, weights: np.ndarray, columns: list[str]) -> DataFrame:
-    """docs' columns with __score, the scorer's chance of good quality."""
-
-    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            z = []
-            for raw in map(_raw, pdf["__text"]):
-                words = raw.split()
-                at, x = features(raw, words)
-                z.append(float(x @ weights[at] + weights[-1]))
-            pdf = pdf.drop(columns="__text")
-            yield pdf.assign(__score=1 / (1 + np.exp(-np.clip(np.array(z, float), -50, 50))))
-
-    own = docs.select(*columns, F.col("text").alias("__text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.drop("__text").schema)
-    return own.mapInPandas(judge, f"{schema}, __score double")
+def scores(texts: pa.Array, weights: np.ndarray, some: int = 500) -> np.ndarray:
+    """The scorer's chance of good quality of each text; `some` texts are Python objects at a time."""
+    z = np.zeros(len(texts))
+    for lo in range(0, len(texts), some):
+        for i, raw in enumerate(map(_raw, texts.slice(lo, some).to_pylist()), lo):
+            at, x = features(raw, raw.split())
+            z[i] = x @ weights[at] + weights[-1]
+    return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
 
 
 def classify(docs: DataFrame, sample: int = SAMPLE, cut: float = 0.5) -> DataFrame:
     """(doc_id, score, keep) for each row of docs (doc_id, text): keep where the scorer's chance of good quality is `cut` or more.
 
-    Null and empty texts count as texts without words; repeated rows are judged each; other columns are ignored; an
-    empty table gives an empty result.
+    Null and empty texts count as texts without words; very long ones are judged whole; repeated rows are judged each, as
+    are ties; a null doc_id stays null; other columns are ignored; an empty table gives an empty result.
     """
     docs = docs.select("doc_id", "text")
-    found = score(docs, fit(docs, sample)[1], ["doc_id"])
-    return found.select("doc_id", F.col("__score").alias("score"), (F.col("__score") >= cut).alias("keep"))
+    weights = fit(docs, sample)[1]
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = scores(batch.column("text"), weights)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found), pa.array(found >= cut)], ["doc_id", "score", "keep"])
+
+    return docs.mapInArrow(judge, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double, keep boolean")
 
 
 def filtered(docs: DataFrame, sample: int = SAMPLE, cut: float = 0.5) -> DataFrame:
-    """The rows of docs that the classifier keeps, with all their columns."""
-    return score(docs, fit(docs, sample)[1], docs.columns).where(F.col("__score") >= cut).select(*docs.columns)
+    """The rows of docs that the classifier keeps, with all their columns as they are; awkward rows as in classify()."""
+    weights = fit(docs, sample)[1]
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(scores(batch.column("text"), weights) >= cut))
+
+    return docs.mapInArrow(keep, docs.schema)

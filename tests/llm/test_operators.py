@@ -65,39 +65,38 @@ def test_permutation_is_one_and_has_an_inverse(n):
 
 
 def test_training_order_round_trip(spark, real, tmp_path):
-    out = str(tmp_path / "shards")
-    rows = training_order.materialise(real, out, seq_len=256, per_shard=64).orderBy("slot").collect()
-    assert [r.slot for r in rows] == list(range(len(rows)))
-    want = {i: ids_of(t) for i, t in texts(real).items()}
-    assert sum(r.length for r in rows) == sum(map(len, want.values()))
-    found = defaultdict(dict)
-    stride = training_order.HEAD_BYTES + 512 + 1
+    """The records of a partition's stream, put back into its order by the inverse permutation, hold every document's ids, one after the other."""
     import glob
+    import struct
 
+    real, out = real.repartition(3).cache(), str(tmp_path / "shards")
+    rows = training_order.materialise(real, out, seq_len=256, per_shard=64).orderBy("slot").collect()
+    assert [r.slot for r in rows] == list(range(len(rows)))
+    stride, records = training_order.HEAD_BYTES + 512 + 1, {}
     for path in glob.glob(f"{out}/part-*"):
         shard = int(re.search(r"part-(\d+)", path)[1])
         data = open(path, "rb").read()
         for at in range(0, len(data), stride):
-            import struct
-
             slot, doc, start, n = struct.unpack_from(training_order.HEAD, data, at)
             assert slot == shard * 64 + at // stride
-            ids = np.frombuffer(data, "<u2", n, at + training_order.HEAD_BYTES).tolist()
-            while ids:
-                k = min(len(ids), len(want[doc]) - start)
-                for j in range(k):
-                    found[doc][start + j] = ids[j]
-                ids = ids[k:]
-                if ids:  # the next document of the stream is found by its first ids
-                    break
-    for doc, got in found.items():
-        assert all(want[doc][j] == x for j, x in got.items())
+            records[slot] = doc, start, np.frombuffer(data, "<u2", n, at + training_order.HEAD_BYTES).tolist()
+    order = training_order.permute(np.arange(len(rows)), len(rows), 20_240_607)
+    got = [x for s in order.tolist() for x in records[s][2]]
+    parts = real.rdd.glom().collect()
+    stream = [(r.doc_id, at, x) for p in parts for r in p for at, x in enumerate(ids_of(r.text))]
+    assert got == [x for _, _, x in stream]
+    ends = list(itertools.accumulate(len(records[s][2]) for s in order.tolist()))
+    assert [records[s][:2] for s in order.tolist()] == [stream[e][:2] for e in [0, *ends[:-1]]]
     some = training_order.read(spark, out, 256, 64, from_slot=70).orderBy("slot").collect()
-    assert some == rows[70:]
+    assert some == rows[70:] and training_order.read(spark, out, 256, 64, from_slot=10**6).count() == 0
     again = training_order.materialise(real, str(tmp_path / "again"), seq_len=256, per_shard=64).orderBy("slot").collect()
     assert again == rows
 
 
+def test_shards_grow_before_their_number_does():
+    assert [training_order.shard_records(n) for n in (1, 2048 * 10_000, 2048 * 10_000 + 1, 10**12)] == [2048, 2048, 4096, 65_536]
+
+
 def test_training_order_awkward(spark, awkward, nothing, tmp_path):
     rows = training_order.materialise(awkward, str(tmp_path / "a"), seq_len=64, per_shard=16).collect()
     assert sum(r.length for r in rows) == sum(len(ids_of(r[1])) for r in AWKWARD)
@@ -303,10 +302,34 @@ def test_label_model_finds_accuracies():
     assert all(abs(model.accuracies()[n] - p) < 0.04 for n, p in zip(weak_labels.LABELLERS, true, strict=True))
 
 
+def test_weak_labels_by_hand(spark, real):
+    """Scores of the query against the same steps in plain Python: votes of every text, EM, the hash's first `sample` texts, the scorer."""
+    from pyspark.sql import functions as F
+
+    rows = real.select("doc_id", "text", F.xxhash64(F.lit("quire-sample"), "doc_id", "text").alias("o")).collect()
+    raws = {r.doc_id: (r.text or "").encode() for r in rows}
+    found = {i: weak_labels.pattern(weak_labels.votes(raw, raw.split())) for i, raw in raws.items()}
+    model = weak_labels.LabelModel(Counter(found.values()))
+    first = sorted(rows, key=lambda r: (r.o, found[r.doc_id]))[:40]
+    weights = weak_labels.train([weak_labels.features(raws[r.doc_id], raws[r.doc_id].split()) for r in first], np.array([model.posterior[found[r.doc_id]] for r in first]))
+    for r in weak_labels.classify(real, sample=40).collect():
+        at, x = weak_labels.features(raws[r.doc_id], raws[r.doc_id].split())
+        assert abs(r.score - 1 / (1 + np.exp(-(x @ weights[at] + weights[-1])))) < 1e-9 and r.keep == (r.score >= 0.5)
+
+
 def test_weak_labels_awkward(spark, awkward, nothing):
-    assert weak_labels.classify(awkward).count() == len(AWKWARD)
-    assert weak_labels.classify(nothing).count() == 0
+    from pyspark.sql import functions as F
+
+    big = 2**60 + 1  # would not survive a pass through floating point beside a null
+    long = spark.createDataFrame([(big, "a" * 3_000_000 + "!"), (big, "#" * 1_000_000 + "a"), (big, "good words, in a plain sentence. " * 2000)], "doc_id long, text string")
+    rows = weak_labels.classify(awkward.select("doc_id", "text").unionByName(long)).collect()
+    assert sorted(r.doc_id or 0 for r in rows) == sorted([r[0] or 0 for r in AWKWARD] + [big] * 3)
+    empty = {r.doc_id: r.keep for r in rows if r.doc_id in (1, 2, 3)}
+    assert len(set(empty.values())) == 1 and len({(r.score, r.keep) for r in rows if r.doc_id == 7}) == 1
+    assert weak_labels.classify(nothing).count() == 0 and weak_labels.filtered(nothing).count() == 0
     assert weak_labels.filtered(awkward).columns == awkward.columns
+    kept = weak_labels.filtered(awkward.withColumn("more", F.col("doc_id") + big)).collect()
+    assert all(r.more is None if r.doc_id is None else r.more == r.doc_id + big for r in kept)
 
 
 # 7
@@ -407,6 +430,37 @@ def test_packing(spark, real, awkward, nothing):
     assert packing.pack(nothing).count() == 0
 
 
+def test_neighbours_are_those_of_all_scores():
+    """The index, also after used documents have left it, against the sum over all of a seed's terms for every document."""
+    rng = np.random.default_rng(3)
+    terms = [np.unique(rng.zipf(1.4, rng.integers(0, 120)) % 500).astype(np.uint16) for _ in range(300)]
+    weights = [rng.random(len(t)) for t in terms]
+    index, unused = packing.Postings(terms, weights), set(range(300))
+    for step in range(120):
+        seed = int(rng.integers(300))
+        own = [dict(zip(t.tolist(), w.tolist(), strict=True)) for t, w in zip(terms, weights, strict=True)]
+        score = {d: sum(own[d].get(t, 0.0) for t in terms[seed].tolist()) for d in unused}
+        got = index.neighbours(seed).tolist()
+        assert set(got) == {d for d, s in score.items() if s}
+        assert all(score[a] >= score[b] - 1e-4 for a, b in zip(got, got[1:], strict=False))
+        gone = rng.choice(sorted(unused), 2, replace=False)
+        index.use(gone)
+        unused -= set(gone.tolist())
+
+
+def test_packing_many_tiny_texts():
+    """Time grows with the documents and not with their square."""
+    import time
+
+    empty, began = np.zeros(0, np.uint16), time.process_time()
+    rows = list(packing.pack_shard([1] * 200_000, [empty] * 200_000, [np.zeros(0)] * 200_000))
+    assert [r[0] for r in rows] == list(range(200_000)) and rows[-1][3] == 200_000 // 4096 + (200_000 % 4096).bit_count() - 1
+    tiny = [np.array([i % 1000, 1000 + i % 7], np.uint16) for i in range(50_000)]
+    rows = list(packing.pack_shard([3] * 50_000, tiny, [np.array([2.0, 0.1])] * 50_000))
+    assert Counter(r[0] for r in rows for _ in range(r[2])) == Counter({i: 3 for i in range(50_000)})
+    assert time.process_time() - began < 30
+
+
 def test_packing_puts_related_documents_together():
     a, b = np.arange(10), np.arange(100, 110)
     terms = [a, b] * 6
@@ -654,5 +708,5 @@ def test_exact_ids_with_odd_blanks():
     for keep in (3, 10_000):
         enc = tokens.Encoder(tokens.default_path(), keep)
         for _ in range(2):
-            assert [np.frombuffer(b, "<u4").tolist() for b in enc.many([text, *others])] == [ids_of(t)[:-1] for t in [text, *others]]
+            assert [b.tolist() for b in enc.many([text, *others])] == [ids_of(t)[:-1] for t in [text, *others]]
             assert enc.counts([text, *others]) == [len(ids_of(t)) - 1 for t in [text, *others]]

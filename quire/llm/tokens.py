@@ -15,10 +15,14 @@ VOCABULARY_SIZE = 49_408
 END = 2
 #: How the tokenizer splits its normalised text before merging; a fixed value of its file.
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: Chunks that are one piece: letters up to U+024F and small Cyrillic ones, all normal forms, that stay one letter in lower case.
+_LETTERS = "^[a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f\u0430-\u045f]+$"
 _BLANK = regex.compile(r"[\x20\x09-\x0D]")
 #: Characters of texts that are encoded together, pieces in one call of the tokenizer, and bytes of words in the cache.
 _TOGETHER, _AT_ONCE, _KEEP = 3_000_000, 20_000, 6_000_000
 _TEXT = pa.large_string()
+#: Before an ASCII mark (an apostrophe may go with what follows it) that stands after a small letter, a piece ends in any case.
+_SPLIT = r"(\p{Ll})([!-&(-/:-@\[-`{-~])"
 
 
 def default_path() -> str:
@@ -59,8 +63,8 @@ class Encoder:
     """Ids of whole texts, exactly the tokenizer's.
 
     It drops white space, lowers case and never merges over white space or between letters, digits and marks. So a text's ids
-    are those of its blank-separated chunks in turn, a chunk's those of its pieces; a full stop or comma after a small letter is
-    a chunk of its own. Distinct chunks of many texts are found by dictionary encoding; those seen before are looked up in
+    are those of its blank-separated chunks in turn, a chunk's those of its pieces; a mark after a small letter starts a chunk
+    of its own. Distinct chunks of many texts are found by dictionary encoding; those seen before are looked up in
     an Arrow array of at most _KEEP bytes (beyond that it starts again from the last texts' chunks), and new ones are
     encoded in one call. Texts that hold a special token's opening, and chunks whose normal form is another, go to the
     tokenizer as they are.
@@ -97,8 +101,7 @@ class Encoder:
 
     def _new(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, sizes) of distinct chunks."""
-        plain = pc.and_(pc.utf8_is_alpha(chunks), pc.and_(pc.equal(pc.utf8_lower(chunks), chunks), pc.equal(pc.utf8_normalize(chunks, "NFC"), chunks)))
-        plain = plain.to_numpy(zero_copy_only=False)
+        plain = pc.match_substring_regex(chunks, _LETTERS).to_numpy(zero_copy_only=False)
         ids, sizes = self._encode(chunks.filter(pa.array(plain)))
         if plain.all():
             return ids, sizes
@@ -130,7 +133,7 @@ class Encoder:
         return pool[runs(pool_starts[order], each)], total[first + count] - total[first]
 
     def _some(self, texts: list[str], expand: bool) -> tuple[np.ndarray | None, np.ndarray]:
-        low = pc.replace_substring_regex(pc.ascii_lower(pa.array(texts, _TEXT)), r"(\p{Ll})([.,])", r"\1 \2")
+        low = pc.replace_substring_regex(pc.ascii_lower(pa.array(texts, _TEXT)), _SPLIT, r"\1 \2")
         lists = pc.ascii_split_whitespace(low)
         flat = lists.flatten().dictionary_encode()
         del low

@@ -30,3 +30,10 @@ def test_long_texts_in_parts_and_the_cache_within_its_bytes(monkeypatch):
     want = [plain.encode(t or "", add_special_tokens=False).ids for t in texts]
     assert [a.tolist() for a in enc.many(texts)] == want
     assert enc.counts(texts) == [len(w) for w in want] and enc.names.nbytes <= 4000
+
+
+def test_every_letter_and_mark_beside_others():
+    marks = [chr(c) for c in [*range(0x20, 0x250), *range(0x370, 0x530), 0x1E9E, 0xFB01, 0x212B, 0x300, 0x301]]
+    texts = [t for m in marks for t in (f"a{m}", f"é{m}b", f"{m}.x", f"a{m}'s")]
+    enc = tokens.Encoder(tokens.default_path())
+    assert [a.tolist() for a in enc.many(texts)] == [enc.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]

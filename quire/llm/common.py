@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -54,6 +55,12 @@ def batches_of(spark: SparkSession, rows: int | None) -> Iterator[None]:
 BATCH_ROWS = 1_000
 
 
+def tidy(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of steps that are over, which it does only once the driver's garbage is collected."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def written(df: DataFrame, name: str, batch_rows: int | None = BATCH_ROWS) -> DataFrame:
     """df as a table in the shared folder: it cuts the lineage and survives lost executors. batch_rows: see batches_of()."""
     path = scratch_path(df.sparkSession, name)
@@ -61,6 +68,7 @@ def written(df: DataFrame, name: str, batch_rows: int | None = BATCH_ROWS) -> Da
         df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._quire_path = path
+    tidy(df.sparkSession)
     return out
 
 

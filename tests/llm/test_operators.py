@@ -643,6 +643,53 @@ def test_passages_of_one_word(spark):
         assert all(any(r.doc_id == doc and r.start_word <= i and i + 50 <= r.end_word for r in got) for i in range(start, end - 49))
 
 
+def test_shared_seeds_by_hand():
+    """Packed, unpacked and matched, seeds have the first place and the last one in an earlier document of all their places."""
+    rng, bits = np.random.default_rng(9), 4
+    rows, parts = [], defaultdict(list)
+    for _ in range(5):
+        ids, v = rng.integers(-(2**62), 2**62, 40), rng.integers(0, 2**32, 40)
+        ids[:4], v[:2] = 7, 9  # rows that repeat an id, some with equal texts
+        places = [np.sort(rng.choice(10**6, rng.integers(0, 30), replace=False)) for _ in ids]
+        hashes = [rng.integers(0, 90, len(p)) * 0x2545F4914F6CDD1D for p in places]
+        for bucket, data in chaining.packed(ids, v, places, hashes, bits):
+            parts[bucket].append(chaining.unpacked(bucket, data, bits))
+        rows += [(int(h.astype(np.uint64) >> np.uint64(8)), (int(i), int(w), int(a))) for i, w, p, hs in zip(ids, v, places, hashes, strict=True) for h, a in zip(hs, p, strict=True)]
+    by = defaultdict(list)
+    for h, place in rows:
+        by[h].append(place)
+    want = Counter()
+    for h, places in by.items():
+        first = min(places)
+        if max(places)[0] > first[0]:
+            for own in places:
+                before = max((p for p in places if p[0] < own[0]), default=None)
+                want[own, h, first, None if before == first else before] += 1
+    got = Counter()
+    tell = lambda s: s and (s["doc_id"], s["v"], s["at"])
+    for some in parts.values():
+        for r in chaining.shared(*map(np.concatenate, zip(*some, strict=True))).to_pylist():
+            got[(r["doc_id"], r["v"], r["at"]), r["seed"], tell(r["f"]), tell(r["p"])] += 1
+    assert got == want and sum(got.values()) > 1000
+
+
+def test_no_exact_passage_of_real_texts_is_lost(spark, real):
+    """By brute force: each run of 50 words that an earlier document holds lies in a reported passage of its document."""
+    words = {i: re.findall(r"[^\x20\t-\r]+", (t or "").lower()) for i, t in sorted(texts(real).items())}
+    spans, seen, lost, runs = defaultdict(list), {}, 0, 0
+    for r in chaining.passages(real).collect():
+        spans[r.doc_id].append((r.start_word, r.end_word))
+        assert r.source_doc_id < r.doc_id and r.similarity >= 0.8 and r.end_word - r.start_word >= 50
+    for i, w in words.items():
+        own = [tuple(w[a : a + 50]) for a in range(len(w) - 49)]
+        for a, run in enumerate(own):
+            if run in seen:
+                runs += 1
+                lost += not any(s <= a and a + 50 <= e for s, e in spans[i])
+        seen.update(dict.fromkeys(own, i))
+    assert runs > 100 and not lost
+
+
 def test_distance():
     rng = random.Random(8)
     for _ in range(50):

@@ -664,12 +664,13 @@ def test_shared_seeds_by_hand():
         if max(places)[0] > first[0]:
             for own in places:
                 before = max((p for p in places if p[0] < own[0]), default=None)
-                want[own, h, first, None if before == first else before] += 1
+                want[own, first, own if before in (first, None) else before] += 1
     got = Counter()
-    tell = lambda s: s and (s["doc_id"], s["v"], s["at"])
     for some in parts.values():
-        for r in chaining.shared(*map(np.concatenate, zip(*some, strict=True))).to_pylist():
-            got[(r["doc_id"], r["v"], r["at"]), r["seed"], tell(r["f"]), tell(r["p"])] += 1
+        links = chaining.shared(*map(np.concatenate, zip(*some, strict=True)))
+        sent = [chaining.links_of(data) for _, data in chaining.by_document(links, bits)]
+        for r in zip(*map(np.ndarray.tolist, map(np.concatenate, zip(*sent, strict=True))), strict=True):
+            got[tuple((i, va >> 32, va & (2**32 - 1)) for i, va in zip(r[::2], r[1::2], strict=True))] += 1
     assert got == want and sum(got.values()) > 1000
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -56,9 +57,11 @@ BATCH_ROWS = 1_000
 
 
 def tidy(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of steps that are over, which it does only once the driver's garbage is collected."""
-    gc.collect()
-    spark._jvm.System.gc()
+    """Lets Spark delete the shuffle files of steps that are over, which it does only once the driver's garbage is collected; what the first time sets free holds some of them."""
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def written(df: DataFrame, name: str, batch_rows: int | None = BATCH_ROWS) -> DataFrame:
@@ -68,7 +71,6 @@ def written(df: DataFrame, name: str, batch_rows: int | None = BATCH_ROWS) -> Da
         df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._quire_path = path
-    tidy(df.sparkSession)
     return out
 
 

@@ -2,7 +2,7 @@
 
 SimHash at two bits of 64 reaches copies of a cosine of 0.995 only, so the corpus pipeline's near-dedup adds these links.
 Documents that share a band of min-hashes are candidates; a 192-bit sketch of one bit a min-hash, then the exact
-Jaccard similarity of their whole texts decide. Members of a band are first held against its smallest one; only those
+Jaccard similarity of their whole texts decide. Members of a band are first held against the one with most company; only those
 that are still apart from it are then held against the others they are apart from, so a group of copies costs its size.
 """
 
@@ -108,8 +108,14 @@ def links(docs: DataFrame, words: int = 5, similarity: float = SIMILARITY) -> tu
     reps = sig.groupBy("whole").agg(F.min(F.struct("doc_id", *sketch, "bands")).alias("r")).select(F.col("r.doc_id").alias("node"), *(f"r.{c}" for c in sketch), "r.bands")
     reps = common.written(reps.dropDuplicates(["node"]), "representatives")
     bands = reps.select(F.explode("bands").alias("key"), "node")
-    shared = bands.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("count")).where("count > 1").drop("count")
-    bands = common.written(bands.join(shared, "key"), "bands")
+    shared = bands.groupBy("key").agg(F.count("*").alias("count")).where("count > 1")
+    bands = common.written(bands.join(shared, "key"), "shared-bands")
+    # The member that shares most bands with others is the likeliest to resemble all: copies of one text differ from it by
+    # less than from each other.
+    weight = bands.groupBy("node").agg(F.sum("count").alias("weight"))
+    ranked = bands.join(weight, "node").select("key", "node", F.struct("weight", F.bitwise_not("node").alias("last")).alias("r"))
+    hubs = ranked.groupBy("key").agg(F.bitwise_not(F.max("r")["last"]).alias("hub"))
+    bands = common.written(bands.select("key", "node").join(hubs, "key"), "bands")
     own = reps.drop("bands")
 
     first = bands.where("node <> hub").select("node", "hub").distinct()

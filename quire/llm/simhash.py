@@ -101,16 +101,30 @@ def near_duplicates(docs: DataFrame, words: int = 3, heavy: int = HEAVY) -> Data
 
 
 def deduplicated(docs: DataFrame, words: int = 5, heavy: int = HEAVY, similarity: float = resemblance.SIMILARITY) -> DataFrame:
-    """One row of docs for each component of near duplicates: that of its smallest doc_id (of rows that share it, one; rows without a doc_id stay).
+    """One row of docs for each component of near duplicates: that of its smallest doc_id, with all its columns as they are.
 
     Components join what near_duplicates() links and what resembles by `similarity` or more in word shingles; the
-    fingerprints alone reach closer copies only.
+    fingerprints alone reach closer copies only. Null and empty texts are copies of each other. Rows that share a doc_id
+    are judged by their texts: each may stay, of equal ones one, and of those in one component the one with the
+    smallest hash of its text. Rows without a doc_id stay; an empty table gives an empty result.
     """
-    near = near_duplicates(docs, words, heavy).where("doc_id is not null").select("doc_id", "component_id")
-    member, pairs = resemblance.links(docs, words, similarity)
+    there = docs.where("doc_id is not null")
+    repeats = not there.groupBy("doc_id").count().where("count > 1").isEmpty()
+    key = F.xxhash64("doc_id", "text") if repeats else F.col("doc_id")
+    d = there.select(key.alias("doc_id"), "text")
+    near = near_duplicates(d, words, heavy).select("doc_id", "component_id")
+    member, pairs = resemblance.links(d, words, similarity)
     groups = common.written(near.join(member, "doc_id", "left").select("doc_id", "component_id", F.coalesce("rep", "doc_id").alias("rep")).distinct(), "groups")
     parts = common.components(groups.where("component_id <> rep").select(F.col("component_id").alias("a"), F.col("rep").alias("b")).unionByName(pairs))
     last = groups.join(parts, groups.rep == parts.node, "left").select("doc_id", F.coalesce("component", "rep").alias("least"))
-    gone = last.where("doc_id <> least").select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    return left.where("doc_id is null").unionByName(left.where("doc_id is not null").dropDuplicates(["doc_id"]))
+    if repeats:  # keys are hashes, so the smallest doc_id of a component is looked up
+        ids = there.select(key.alias("doc_id"), F.col("doc_id").alias("id")).distinct()
+        last = last.join(ids, "doc_id")
+        best = last.groupBy("least").agg(F.min(F.struct("id", "doc_id"))["doc_id"].alias("best"))
+        last = last.join(best, "least").select("doc_id", F.col("best").alias("least"))
+    gone = common.written(last.where("doc_id <> least").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
+    keyed = docs.withColumn("__key", F.when(F.col("doc_id").isNotNull(), key))
+    left = keyed.join(gone, keyed["__key"] == gone["__gone"], "left_anti")
+    if repeats:
+        left = left.where("doc_id is null").unionByName(left.where("doc_id is not null").dropDuplicates(["__key"]))
+    return left.select(*docs.columns)

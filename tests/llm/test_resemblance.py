@@ -66,3 +66,30 @@ def test_pairs_are_few_and_true(spark):
 def test_nothing(spark):
     member, pairs = resemblance.links(spark.createDataFrame([(1, None), (None, "a b"), (2, " ")], "doc_id long, text string"))
     assert member.count() == pairs.count() == 0
+
+
+def test_rows_of_one_id_are_judged_by_their_texts(spark):
+    rng = random.Random(3)
+    word = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    a, b, c = word(60), word(60), word(60)
+    rows = [(5, a), (5, b), (5, b), (3, b + " x"), (9, c), (9, None), (2, ""), (None, a), (7, a)]
+    kept = {(r.doc_id, r.text) for r in simhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == {(5, a), (3, b + " x"), (9, c), (2, ""), (None, a)}
+
+
+def test_copies_of_one_text_meet_through_it(spark):
+    """Copies that differ from a text by a tenth of their words and so from each other by too much are linked through it, with few pairs."""
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(400)]
+    texts = {900: " ".join(words)}
+    for i in range(150):
+        w = list(words)
+        for at in rng.sample(range(400), 8):
+            w[at] = f"x{rng.randrange(10**6)}"
+        texts[i] = " ".join(w)
+    s = {i: sets(t) for i, t in texts.items()}
+    assert len(s[0] & s[1]) < 0.8 * len(s[0] | s[1]) and len(s[0] & s[900]) > 0.8 * len(s[0] | s[900])
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    _, pairs = resemblance.links(docs)
+    assert pairs.count() < 4 * 150
+    assert {r.component for r in common.components(pairs).collect()} == {0} and [r.doc_id for r in simhash.deduplicated(docs).collect()] == [0]

@@ -2,8 +2,9 @@
 
 SimHash at two bits of 64 reaches copies of a cosine of 0.995 only, so the corpus pipeline's near-dedup adds these links.
 Documents that share a band of min-hashes are candidates; a 192-bit sketch of one bit a min-hash, then the exact
-Jaccard similarity of their whole texts decide. Members of a band are first held against the one with most company; only those
-that are still apart from it are then held against the others they are apart from, so a group of copies costs its size.
+Jaccard similarity of their whole texts decide. Members of a band are first held against the one with most company, its hub. Those that it does
+not resemble are then compared with others only where they can resemble one: two sets either share a shingle that the
+hub lacks, where they meet by prefixes, or share no more than either shares with the hub.
 """
 
 from __future__ import annotations
@@ -75,23 +76,49 @@ def _alike(similarity: float) -> Column:
     return (apart <= SKETCH_BITS) & (F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * similarity)
 
 
+def _with_texts(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """pairs (a, b) with their texts x and y."""
+    texts = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
+    both = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("y")), "b")
+    return both.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), "a")
+
+
+def _sets(pdf: pd.DataFrame, words: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The shingle sets of x and y; an x that repeats is made once."""
+    last, held = None, np.zeros(0, np.uint64)
+    for x, y in zip(pdf["x"], pdf["y"], strict=True):
+        if x != last:
+            last, held = x, shingle_set(x, words)
+        yield held, shingle_set(y, words)
+
+
 def verified(pairs: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
     """The pairs (a, b) whose whole texts have a Jaccard similarity of `similarity` or more."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, held = None, np.zeros(0, np.uint64)
         for pdf in batches:
-            ok = []
-            for x, y in zip(pdf["x"], pdf["y"], strict=True):
-                if x != last:
-                    last, held = x, shingle_set(x, words)
-                ok.append(jaccard(held, shingle_set(y, words)) >= similarity)
-            yield pdf.loc[ok, ["a", "b"]]
+            yield pdf.loc[[jaccard(x, y) >= similarity for x, y in _sets(pdf, words)], ["a", "b"]]
+
+    return common.written(_with_texts(pairs, docs).mapInPandas(run, "a long, b long"), "resembling", batch_rows=500).distinct()
 
-    texts = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
-    both = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("y")), "b")
-    both = both.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), "a")
-    return common.written(both.mapInPandas(run, "a long, b long"), "resembling", batch_rows=500).distinct()
+
+def against_hubs(pairs: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(a, b, ok, both, own) for pairs of a hub a and a member b: whether they resemble, how many shingles they share, and b's prefix.
+
+    A set's shingles are ordered by their hashes, those that the hub lacks before those that it has; the prefix is the
+    first n - ceil(similarity n) + 1 of them, of which `own` holds those that the hub lacks.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for (x, y), a, b in zip(_sets(pdf, words), pdf["a"], pdf["b"], strict=True):
+                own = np.setdiff1d(y, x, assume_unique=True)
+                prefix = len(y) - int(np.ceil(similarity * len(y) - 1e-9)) + 1
+                rows.append((a, b, jaccard(x, y) >= similarity, len(y) - len(own), own[:prefix].view(np.int64).tolist()))
+            yield pd.DataFrame(rows, columns=["a", "b", "ok", "both", "own"])
+
+    return common.written(_with_texts(pairs, docs).mapInPandas(run, "a long, b long, ok boolean, both long, own array<long>"), "against-hubs", batch_rows=500)
 
 
 def links(docs: DataFrame, words: int = 5, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
@@ -116,19 +143,24 @@ def links(docs: DataFrame, words: int = 5, similarity: float = SIMILARITY) -> tu
     ranked = bands.join(weight, "node").select("key", "node", F.struct("weight", F.bitwise_not("node").alias("last")).alias("r"))
     hubs = ranked.groupBy("key").agg(F.bitwise_not(F.max("r")["last"]).alias("hub"))
     bands = common.written(bands.select("key", "node").join(hubs, "key"), "bands")
-    own = reps.drop("bands")
-
-    first = bands.where("node <> hub").select("node", "hub").distinct()
-    first = first.join(own.alias("b"), F.col("b.node") == first.node).select(first.hub, F.struct("b.*").alias("b"))
-    first = first.join(own.alias("a"), F.col("a.node") == F.col("hub")).where(_alike(similarity)).select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
-    found = verified(first, docs, words, similarity)
+    sketches = reps.drop("bands")
 
+    first = bands.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    held = against_hubs(first, docs, words, similarity)
+    found = held.where("ok").select("a", "b")
     parts = common.components(found)
-    placed = bands.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
-    placed = placed.join(parts.select(F.col("node").alias("hub"), F.col("component").alias("hub_part")), "hub", "left").withColumn("out", F.col("part") != F.coalesce("hub_part", "hub"))
-    loose = placed.where("out").select("key").distinct()
-    placed = common.written(placed.join(loose, "key", "left_semi").select("key", "node", "part", "out", (F.col("node") == F.col("hub")).alias("is_hub")).join(own, "node"), "apart")
-    a, b = placed.where("out").alias("a"), placed.where("not is_hub").alias("b")
-    meet = (F.col("a.key") == F.col("b.key")) & (F.col("a.part") != F.col("b.part")) & (~F.col("b.out") | (F.col("a.node") < F.col("b.node")))
-    rest = a.join(b, meet & _alike(similarity)).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
+    placed = held.select(F.col("a").alias("hub"), F.col("b").alias("node"), "both", "own").join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
+    placed = placed.join(parts.select(F.col("node").alias("hub"), F.col("component").alias("hub_part")), "hub", "left").withColumn("out", F.col("part") != F.coalesce("hub_part", "hub")).drop("hub_part")
+    loose = placed.where("out").select("hub").distinct()
+    placed = common.written(placed.join(loose, "hub", "left_semi").join(sketches, "node"), "apart")
+    # Two members that share no shingle which the hub lacks share as many at most as either shares with the hub.
+    differ = (F.col("a.part") != F.col("b.part")) & (~F.col("b.out") | (F.col("a.node") < F.col("b.node")))
+    enough = F.least("a.both", "b.both") * (1 + similarity) >= (F.col("a.n") + F.col("b.n")) * similarity - 1e-6
+    slim = placed.drop("own")
+    through = slim.where("out").alias("a").join(slim.alias("b"), (F.col("a.hub") == F.col("b.hub")) & differ & enough & _alike(similarity))
+    # Others that resemble share one, and by the order also one of their prefixes.
+    named = placed.select("hub", "node", "part", "out", F.explode("own").alias("shingle"))
+    beside = named.where("out").alias("a").join(named.alias("b"), (F.col("a.hub") == F.col("b.hub")) & (F.col("a.shingle") == F.col("b.shingle")) & differ)
+    pair = [F.col("a.node").alias("a"), F.col("b.node").alias("b")]
+    rest = through.select(*pair).unionByName(beside.select(*pair)).distinct()
     return member, found.unionByName(verified(rest, docs, words, similarity))

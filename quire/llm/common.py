@@ -6,8 +6,8 @@ import gc
 import tempfile
 import time
 import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager, suppress
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,6 +56,25 @@ def batches_of(spark: SparkSession, rows: int | None) -> Iterator[None]:
 BATCH_ROWS = 1_000
 
 
+def released(step: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A step of mapInPandas or mapInArrow that gives its memory back to the system when a task ends; Python workers stay, and keep what they have freed else."""
+
+    def run(batches: Iterator) -> Iterator:
+        import ctypes
+
+        import pyarrow as pa
+
+        try:
+            yield from step(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with suppress(OSError, AttributeError):  # only where the C library has it
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
 def tidy(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of steps that are over, which it does only once the driver's garbage is collected; what the first time sets free holds some of them."""
     for _ in range(2):

@@ -181,13 +181,13 @@ def pack(docs: DataFrame, path: str | None = None, shard_tokens: int = SHARD_TOK
         at = np.flatnonzero(df)
         yield pd.DataFrame({"token": at, "df": df[at]})
 
-    made = common.written(docs.select("doc_id", "text").mapInPandas(encode, "doc_id long, n long, crc long, ids binary, nth long, df binary"), "ids")
+    made = common.written(docs.select("doc_id", "text").mapInPandas(common.released(encode), "doc_id long, n long, crc long, ids binary, nth long, df binary"), "ids")
     total, count = made.agg(F.sum("n"), F.count("n")).first()
     if not count:
         common.discard(made)
         return spark.createDataFrame([], SCHEMA)
     df = np.zeros(size)
-    for r in made.where("n is null").select("df").mapInPandas(frequencies, "token int, df long").groupBy("token").agg(F.sum("df").alias("df")).collect():
+    for r in made.where("n is null").select("df").mapInPandas(common.released(frequencies), "token int, df long").groupBy("token").agg(F.sum("df").alias("df")).collect():
         df[r.token] = r.df
     mean, idf = max(total / count, 1.0), _idf(df, count)
 
@@ -200,7 +200,7 @@ def pack(docs: DataFrame, path: str | None = None, shard_tokens: int = SHARD_TOK
             yield pdf.assign(topic=np.array(found, np.int32))
 
     kept = "doc_id long, n long, crc long, ids binary, nth long"
-    told = common.written(made.where("n is not null").drop("df").mapInPandas(topics, f"{kept}, topic int"), "topics")
+    told = common.written(made.where("n is not null").drop("df").mapInPandas(common.released(topics), f"{kept}, topic int"), "topics")
     common.discard(made)
     sums = told.groupBy("topic").agg(F.sum("n").alias("n")).collect()
     first, parts, shard, room = {}, {}, -1, 0
@@ -235,5 +235,5 @@ def pack(docs: DataFrame, path: str | None = None, shard_tokens: int = SHARD_TOK
         out["sequence_id"] += int(pdf["shard"].iloc[0]) << 32
         return out[[x.split()[0] for x in SCHEMA.split(", ")]].astype({"doc_id": "Int64"})
 
-    dealt = told.mapInPandas(deal, f"{kept}, shard long")
+    dealt = told.mapInPandas(common.released(deal), f"{kept}, shard long")
     return dealt.groupBy("shard").applyInPandas(run, SCHEMA)

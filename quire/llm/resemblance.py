@@ -67,7 +67,7 @@ def signatures(docs: DataFrame, words: int = 5) -> DataFrame:
                     rows.append((i, int(np.uint64(whole).view(np.int64)), len(found), bands, *sketch))
             yield pd.DataFrame(rows, columns=["doc_id", "whole", "n", "bands", "s0", "s1", "s2"])
 
-    return docs.where("doc_id is not null and text is not null").select("doc_id", "text").mapInPandas(run, SIGNATURE)
+    return docs.where("doc_id is not null and text is not null").select("doc_id", "text").mapInPandas(common.released(run), SIGNATURE)
 
 
 def _alike(similarity: float) -> Column:
@@ -99,7 +99,7 @@ def verified(pairs: DataFrame, docs: DataFrame, words: int, similarity: float) -
         for pdf in batches:
             yield pdf.loc[[jaccard(x, y) >= similarity for x, y in _sets(pdf, words)], ["a", "b"]]
 
-    return common.written(_with_texts(pairs, docs).mapInPandas(run, "a long, b long"), "resembling", batch_rows=500).distinct()
+    return common.written(_with_texts(pairs, docs).mapInPandas(common.released(run), "a long, b long"), "resembling", batch_rows=500).distinct()
 
 
 def against_hubs(pairs: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -118,7 +118,7 @@ def against_hubs(pairs: DataFrame, docs: DataFrame, words: int, similarity: floa
                 rows.append((a, b, jaccard(x, y) >= similarity, len(y) - len(own), own[:prefix].view(np.int64).tolist()))
             yield pd.DataFrame(rows, columns=["a", "b", "ok", "both", "own"])
 
-    return common.written(_with_texts(pairs, docs).mapInPandas(run, "a long, b long, ok boolean, both long, own array<long>"), "against-hubs", batch_rows=500)
+    return common.written(_with_texts(pairs, docs).mapInPandas(common.released(run), "a long, b long, ok boolean, both long, own array<long>"), "against-hubs", batch_rows=500)
 
 
 def links(docs: DataFrame, words: int = 5, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:

@@ -45,7 +45,7 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
             fps = np.array([fingerprint(t if isinstance(t, str) else None, words) for t in pdf["text"]], np.uint64)
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "fp": fps.view(np.int64)})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, fp long")
+    return docs.select("doc_id", "text").mapInPandas(common.released(run), "doc_id long, fp long")
 
 
 def _segment(fp: str, i: int) -> str:

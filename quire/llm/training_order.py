@@ -107,7 +107,7 @@ def materialise(docs: DataFrame, out: str, seq_len: int = 2048, per_shard: int |
         if rows:
             yield frame()
 
-    made = common.written(docs.select("doc_id", "text").mapInPandas(cut, "part int, nth long, doc_id long, start long, ids binary"), "sequences")
+    made = common.written(docs.select("doc_id", "text").mapInPandas(common.released(cut), "part int, nth long, doc_id long, start long, ids binary"), "sequences")
     counts = dict(sorted((r.part, r["count"]) for r in made.groupBy("part").count().collect()))
     base = dict(zip(counts, accumulate(counts.values(), initial=0), strict=False))
     total = sum(counts.values())
@@ -131,10 +131,10 @@ def materialise(docs: DataFrame, out: str, seq_len: int = 2048, per_shard: int |
             yield pd.DataFrame({"rec": recs})
 
     shards = -(-total // per_shard)
-    rows = made.mapInPandas(place, "doc_id long, start long, ids binary, slot long")
+    rows = made.mapInPandas(common.released(place), "doc_id long, start long, ids binary, slot long")
     rows = rows.repartitionById(shards, F.expr(f"cast(slot div {per_shard} as int)")).sortWithinPartitions("slot")
     with common.batches_of(spark, common.BATCH_ROWS):
-        rows.mapInPandas(record, "rec binary").select(F.col("rec").cast("string").alias("value")).write.option("lineSep", "\n").text(out)
+        rows.mapInPandas(common.released(record), "rec binary").select(F.col("rec").cast("string").alias("value")).write.option("lineSep", "\n").text(out)
     common.discard(made)
     return read(spark, out, seq_len, per_shard)
 
@@ -170,5 +170,5 @@ def read(spark: SparkSession, out: str, seq_len: int = 2048, per_shard: int = 20
                     rows.append((slot, shard, at, doc_id, start, n, zlib.crc32(ids.tobytes())))
                 yield pd.DataFrame(rows, columns=[x.split()[0] for x in SCHEMA.split(", ")])
 
-    found = files.mapInPandas(look, SCHEMA).where(F.col("slot") >= from_slot)
+    found = files.mapInPandas(common.released(look), SCHEMA).where(F.col("slot") >= from_slot)
     return found.withColumn("doc_id", F.expr(f"nullif(doc_id, {NO_ID + 1} - 1)"))

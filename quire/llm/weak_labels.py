@@ -167,7 +167,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> tuple[LabelModel, np.ndarray]:
 
     spark = docs.sparkSession
     with common.batches_of(spark, common.BATCH_ROWS):
-        counts = docs.select("text").mapInPandas(count, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect()
+        counts = docs.select("text").mapInPandas(common.released(count), "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect()
         model = LabelModel({r.pattern: r.n for r in counts})
         # Whole texts stay where they are: a hash below a bound that is known from the count leaves a few more than the
         # sample, surely enough by six deviations, and only their features are ordered.
@@ -175,7 +175,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> tuple[LabelModel, np.ndarray]:
         share = min(1.0, (sample + 6 * sample**0.5 + 36) / max(total, 1))
         order = F.xxhash64(F.lit("quire-sample"), F.col("doc_id"), "text")
         few = docs.select("text", order.alias("o")).where(F.col("o") <= F.lit(int(-(2**63) + share * (2**64 - 1)) if share < 1 else 2**63 - 1))
-        rows = few.mapInPandas(look, "o long, pattern long, at array<int>, x array<double>").orderBy("o", "pattern").limit(sample).collect()
+        rows = few.mapInPandas(common.released(look), "o long, pattern long, at array<int>, x array<double>").orderBy("o", "pattern").limit(sample).collect()
     rows = [(model.posterior[r.pattern], np.array(r.at), np.array(r.x)) for r in rows]
     weights = train([(a, x) for _, a, x in rows], np.array([p for p, _, _ in rows])) if rows else np.zeros(BUCKETS + 1)
     return model, weights
@@ -205,7 +205,7 @@ def classify(docs: DataFrame, sample: int = SAMPLE, cut: float = 0.5) -> DataFra
             found = scores(batch.column("text"), weights)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found), pa.array(found >= cut)], ["doc_id", "score", "keep"])
 
-    return docs.mapInArrow(judge, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double, keep boolean")
+    return docs.mapInArrow(common.released(judge), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double, keep boolean")
 
 
 def filtered(docs: DataFrame, sample: int = SAMPLE, cut: float = 0.5) -> DataFrame:
@@ -216,4 +216,4 @@ def filtered(docs: DataFrame, sample: int = SAMPLE, cut: float = 0.5) -> DataFra
         for batch in batches:
             yield batch.filter(pa.array(scores(batch.column("text"), weights) >= cut))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(common.released(keep), docs.schema)

@@ -10,12 +10,24 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
+def recover(spark: SparkSession, target: str) -> None:
+    """Brings back what a publish() that broke off between its two renames has left: the old table where there is no other."""
+    fs, there = _fs(spark, target)
+    old = spark._jvm.org.apache.hadoop.fs.Path(f"{target}__old")
+    if fs.exists(old):
+        if fs.exists(there):
+            fs.delete(old, True)
+        elif not fs.rename(old, there):
+            raise OSError(f"cannot bring back {target}")
+
+
 def publish(df: DataFrame, target: str, violations=None, fewer: bool = False) -> None:
-    """Writes df beside target, checks it, then swaps it in; on any failure the old table stays.
+    """Writes df beside target, checks it, then swaps it in; on any failure the old table stays, at its place or for recover().
 
-    violations(df) must be empty; fewer=False refuses fewer rows than there are.
+    violations(df) must be empty; fewer=False refuses fewer rows than there are. What an earlier call has left comes back first.
     """
     spark = df.sparkSession
+    recover(spark, target)
     staged, old = f"{target}__staged", f"{target}__old"
     df.write.mode("overwrite").parquet(staged)
     made = spark.read.parquet(staged)
@@ -29,10 +41,11 @@ def publish(df: DataFrame, target: str, violations=None, fewer: bool = False) ->
     except ValueError:
         fs.delete(path(staged), True)
         raise
-    fs.delete(path(old), True)
-    if fs.exists(there):
-        fs.rename(there, path(old))
-    fs.rename(path(staged), there)
+    if fs.exists(there) and not fs.rename(there, path(old)):
+        raise OSError(f"cannot set {target} aside")
+    if not fs.rename(path(staged), there):
+        recover(spark, target)
+        raise OSError(f"cannot put {staged} in place")
     fs.delete(path(old), True)
 
 

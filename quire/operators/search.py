@@ -88,17 +88,48 @@ def leaves(tree, positive: bool = True) -> list[tuple[Term, bool]]:
 
 
 def index(p: DataFrame, stem: bool = False) -> DataFrame:
-    """Postings (book_id, chapter, ord, term, tf, positions, length): one row for each term of a paragraph, made without a shuffle (Q06, Q13)."""
+    """Postings (book_id, chapter, ord, term, tf, positions, length): one row for each term of a paragraph (Q06, Q13). A filter on term goes below the one shuffle."""
     t = T.terms(F.col("text"))
     if stem:
         from quire.functions.udfs import stems
 
         t = stems(t)
-    d = p.select("book_id", "chapter", "ord", t.alias("t"))
-    at = F.transform("t", lambda x, i: F.named_struct(F.lit("x"), x, F.lit("i"), i))
-    d = d.select("book_id", "chapter", "ord", F.size("t").cast("long").alias("length"), at.alias("at"), F.explode(F.array_distinct("t")).alias("term"))
-    places = F.transform(F.filter("at", lambda a: a["x"] == F.col("term")), lambda a: a["i"])
-    return d.select("book_id", "chapter", "ord", "term", F.size(places).cast("long").alias("tf"), places.alias("positions"), "length")
+    # The length is worked out before the words are rows, else it would be again for each of them.
+    d = p.select("book_id", "chapter", "ord", t.alias("t")).select("book_id", "chapter", "ord", F.size("t").cast("long").alias("length"), "t")
+    d = d.select("book_id", "chapter", "ord", "length", F.posexplode("t").alias("at", "term"))
+    d = d.groupBy("book_id", "chapter", "ord", "term").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("at")).alias("positions"), F.max("length").alias("length"))
+    return d.select("book_id", "chapter", "ord", "term", "tf", "positions", "length")
+
+
+def build_index(p: DataFrame, folder: str, buckets: int = 64) -> None:
+    """Stores the index of paragraphs (book_id, chapter, ord, text): postings by ranges of terms and one row of totals (Q11).
+
+    Postings are ordered by term inside buckets of its first letters' ranges, so a search opens the files and row groups of
+    its words only.
+    """
+    index(p).repartitionByRange(buckets, "term", "chapter", "ord").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{folder}/postings")
+    p.agg(F.count("*").alias("N"), F.avg(F.size(T.terms(F.col("text")))).alias("avgdl"), F.coalesce(F.sum(F.size(T.terms(F.col("text")))), F.lit(0)).cast("long").alias("terms")).write.mode("overwrite").parquet(f"{folder}/totals")
+
+
+def update_index(folder: str, new: str, changed: DataFrame, p: DataFrame, buckets: int = 64) -> None:
+    """Writes to the folder `new` the index of `folder` with the paragraphs of the chapters (chapter) in `changed` as they are in p; chapters that p lacks go.
+
+    The old index stays whole until the new one is put in its place.
+    """
+    spark = p.sparkSession
+    old = spark.read.parquet(f"{folder}/postings")
+    keys = changed.select("chapter").distinct()
+    keys = F.broadcast(keys) if few(keys) else keys
+    kept = old.join(keys, "chapter", "left_anti")
+    rows = kept.unionByName(index(p.join(keys, "chapter", "left_semi")))
+    rows.repartitionByRange(buckets, "term", "chapter", "ord").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{new}/postings")
+    # Paragraphs without a term have no posting, so the totals come from the paragraphs themselves.
+    p.agg(F.count("*").alias("N"), F.avg(F.size(T.terms(F.col("text")))).alias("avgdl"), F.coalesce(F.sum(F.size(T.terms(F.col("text")))), F.lit(0)).cast("long").alias("terms")).write.mode("overwrite").parquet(f"{new}/totals")
+
+
+def search_index(spark, folder: str, typed: str, limit: int | None = LIMIT) -> DataFrame:
+    """search() over a stored index."""
+    return _ranked(spark, parse(typed), spark.read.parquet(f"{folder}/postings"), spark.read.parquet(f"{folder}/totals").select("N", "avgdl"), limit)
 
 
 def evaluate(postings: DataFrame, tree) -> DataFrame:
@@ -143,16 +174,16 @@ def search(p: DataFrame, typed: str, limit: int | None = LIMIT, stem: bool = Fal
 
     Terms under NOT do not count for the rank. Corpus statistics are one row and leaf counts one row, both crossed in.
     """
+    total = p.agg(F.count("*").alias("N"), F.avg(F.size(T.terms(F.col("text")))).alias("avgdl"))
+    return _ranked(p.sparkSession, parse(typed), index(p, stem), total, limit)
+
+
+def _ranked(spark, tree, postings: DataFrame, total: DataFrame, limit: int | None) -> DataFrame:
     from pyspark.sql import Window
 
-    spark = p.sparkSession
-    tree = parse(typed)
     if tree is None:
         return spark.createDataFrame([], "rank long, book_id string, chapter long, ord long, score double")
-    postings = index(p, stem)
     count = [i for i, (_, good) in enumerate(leaves(tree)) if good]
-    size = F.size(T.terms(F.col("text")))
-    total = p.agg(F.count("*").alias("N"), F.avg(size).alias("avgdl"))
     every = evaluate(postings, _any([leaves(tree)[i][0] for i in count]))
     seen = every.agg(*[F.count_if(F.col(f"f{i}") > 0).alias(f"n{i}") for i in range(len(count))])
     found = evaluate(postings, tree).crossJoin(F.broadcast(total)).crossJoin(F.broadcast(seen))  # one row each
@@ -197,8 +228,9 @@ def snippets(p: DataFrame, word: str, width: int = SNIPPET) -> DataFrame:
 def statistics(p: DataFrame) -> DataFrame:
     """(term, df, cf, idf) of the corpus (Q06). Terms are counted with map-side sums; no positions are made."""
     t = p.select(T.terms(F.col("text")).alias("t"))
-    rows = t.select(F.inline(F.transform("t", lambda x, i: F.named_struct(F.lit("term"), x, F.lit("first"), F.array_position("t", x) == i + 1))))
-    d = rows.groupBy("term").agg(F.count_if("first").alias("df"), F.count("*").alias("cf"))
+    one = lambda terms, df, cf: F.transform(terms, lambda x: F.named_struct(F.lit("term"), x, F.lit("df"), F.lit(df), F.lit("cf"), F.lit(cf)))
+    rows = t.select(F.inline(F.concat(one(F.col("t"), 0, 1), one(F.array_distinct("t"), 1, 0))))
+    d = rows.groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
     return d.crossJoin(F.broadcast(p.agg(F.count("*").alias("N")))).select("term", "df", "cf", F.round(F.ln((F.col("N") - F.col("df") + 0.5) / (F.col("df") + 0.5)), 6).alias("idf"))
 
 

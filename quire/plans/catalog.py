@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quire.functions import text as T
 from quire.functions import udfs
 from quire.operators import cards, corpus, fsrs, records, search, study
-from quire.plans import sql
+from quire.plans import more, sql
 from quire.sources import views as V
 
 SEARCHES = {"search_and": "the AND with", "search_or": "zone OR nichts OR ouble", "search_not": "the NOT and", "search_prefix": "th* ouble*", "search_phrase": '"of the" AND in'}
@@ -232,4 +232,5 @@ QUERIES = {
     "star_schema_smoke": _star,
 }
 
-ORACLE_SQL: dict[str, str] = {name: text for name, text in sql.SQL.items() if name in QUERIES}
+QUERIES |= more.QUERIES
+ORACLE_SQL: dict[str, str] = more.SQL | {name: text for name, text in sql.SQL.items() if name in QUERIES}

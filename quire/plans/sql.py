@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from quire.functions.text import ANALYTICAL, DEFINING, STOPWORDS
 from quire.operators.fsrs import W
 from quire.sources.views import NOW
 
+#: The fixed lists, written out here again so that a wrong one shows.
+STOPWORDS = "this that these those with from have were been their which about would could should there where when what some other more most only also into than then they them will just like such each very much does did doing done your ours our".split()
+DEFINING = ["is defined as", "refers to", "means", "is characterized by", "consists of", "is known as", "denotes", "is considered to be", "the primary purpose of", "the fundamental principle of", "is essential for", "plays a critical role in", "represents the"]
+ANALYTICAL = ["consequently", "therefore", "furthermore", "crucially", "specifically", "in particular", "in contrast", "most importantly", "the core mechanism", "as a result"]
+REASONING = "therefore thus however consequently because requires means process market level skill".split()
 HEADING = r"'^#{1,6}([ \t]|$)'"
 BLOCKS = r"list_filter(list_transform(string_split(regexp_replace(text, '\r\n?', chr(10), 'g'), chr(10)), lambda b: trim(b)), lambda b: b <> '')"
 PARAS = f"""b AS (SELECT source AS book_id, doc_id AS chapter, list_filter({BLOCKS}, lambda x: NOT regexp_matches(x, {HEADING})) AS l FROM documents),
@@ -15,7 +19,7 @@ p AS (SELECT book_id, chapter, ord, '^p-' || CASE WHEN ord < 1000 THEN lpad(CAST
 SENTENCES = PARAS + r""",
 s0 AS (SELECT book_id, chapter, ord, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\s+([A-Z0-9"])', '\1' || chr(31) || '\2', 'g'), chr(31)), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> '') AS l FROM p),
 s1 AS (SELECT book_id, chapter, ord, unnest(l) AS t, unnest(range(1, len(l) + 1)) AS i FROM s0),
-s2 AS (SELECT *, coalesce(lag(regexp_matches(t, '(^|\s)(Mr|Mrs|Ms|Dr|Prof|St|vs|etc|No)\.$')) OVER w, false) AS goes_on FROM s1 WINDOW w AS (PARTITION BY chapter, book_id, ord ORDER BY i)),
+s2 AS (SELECT *, coalesce(lag(regexp_matches(lower(t), '(e\.g\.|i\.e\.|dr\.|mr\.|mrs\.|prof\.|fig\.|vs\.|al\.)$')) OVER w, false) AS goes_on FROM s1 WINDOW w AS (PARTITION BY chapter, book_id, ord ORDER BY i)),
 s3 AS (SELECT *, CAST(sum(CASE WHEN goes_on THEN 0 ELSE 1 END) OVER (PARTITION BY chapter, book_id, ord ORDER BY i) AS BIGINT) AS sentence FROM s2),
 s4 AS (SELECT book_id, chapter, ord, sentence, string_agg(t, ' ' ORDER BY i) AS text FROM s3 GROUP BY ALL),
 s AS (SELECT *, sentence = 1 AS is_first, sentence = max(sentence) OVER (PARTITION BY chapter, book_id, ord) AS is_last FROM s4)"""
@@ -179,9 +183,9 @@ SELECT book_id, session, min(read_at) AS first, max(read_at) AS last, count(*) A
     "reading_progress": f"""WITH {READING}, a AS (SELECT *, CAST(least(100, floor(sum(seconds) OVER (PARTITION BY book_id, chapter_file ORDER BY read_at, seq ROWS UNBOUNDED PRECEDING) / 10)) AS BIGINT) AS percent FROM g),
 b AS (SELECT *, lag(percent) OVER (PARTITION BY book_id, chapter_file ORDER BY read_at, seq) AS was FROM a) SELECT book_id, chapter_file, read_at, seq, percent FROM b WHERE was IS NULL OR percent > was""",
     "scenario_passages": rf"""WITH {SENTENCES}, q AS (SELECT chapter, ord, string_agg(CASE WHEN NOT is_last THEN text END, ' ' ORDER BY sentence) AS passage, max(CASE WHEN is_last THEN text END) AS text FROM s GROUP BY chapter, ord HAVING count(*) >= 2)
-SELECT chapter, ord, passage, text AS target, {_salience('false', 'true')} AS score FROM q WHERE length(passage) BETWEEN 40 AND 550 AND length(text) BETWEEN 35 AND 240 AND NOT regexp_matches(text, '\?|\|') AND regexp_matches(text, '[.!]["'')\]]?$')""",
+SELECT chapter, ord, passage, text AS target, {_salience('false', 'true')} + CASE WHEN {_any(REASONING)} THEN 2 ELSE 0 END AS score FROM q WHERE length(passage) BETWEEN 40 AND 550 AND length(text) BETWEEN 35 AND 240 AND NOT regexp_matches(text, '\?|\|') AND regexp_matches(text, '[.!]["'')\]]?$')""",
     "distractor_band_join": rf"""WITH {SENTENCES}, q AS (SELECT chapter, ord, string_agg(CASE WHEN NOT is_last THEN text END, ' ' ORDER BY sentence) AS passage, max(CASE WHEN is_last THEN text END) AS text FROM s GROUP BY chapter, ord HAVING count(*) >= 2),
-t AS (SELECT chapter, ord, text, length(text) AS n, {_salience('false', 'true')} AS score, {KEYWORDS % 'text'} AS k FROM q WHERE length(passage) BETWEEN 40 AND 550 AND length(text) BETWEEN 35 AND 240 AND NOT regexp_matches(text, '\?|\|') AND regexp_matches(text, '[.!]["'')\]]?$')),
+t AS (SELECT chapter, ord, text, length(text) AS n, {_salience('false', 'true')} + CASE WHEN {_any(REASONING)} THEN 2 ELSE 0 END AS score, {KEYWORDS % 'text'} AS k FROM q WHERE length(passage) BETWEEN 40 AND 550 AND length(text) BETWEEN 35 AND 240 AND NOT regexp_matches(text, '\?|\|') AND regexp_matches(text, '[.!]["'')\]]?$')),
 j AS (SELECT a.chapter, a.ord, b.ord AS other, CAST(len(list_intersect(a.k, b.k)) AS BIGINT) AS shared, b.score FROM t a JOIN t b ON a.chapter = b.chapter AND b.ord NOT IN (a.ord, a.ord + 1) AND b.n >= 0.4::DOUBLE * a.n AND b.n <= 2.5::DOUBLE * a.n AND lower(a.text) <> lower(b.text))
 SELECT chapter, ord, row_number() OVER (PARTITION BY chapter, ord ORDER BY shared DESC, score DESC, other) AS rank, other, shared FROM j QUALIFY rank <= 3""",
     "repeated_terms": f"""WITH t AS (SELECT doc_id AS chapter, {TERMS} AS t FROM documents), g AS (SELECT chapter, t, unnest(range(1, len(t) + 1)) AS pos FROM t),

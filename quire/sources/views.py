@@ -25,7 +25,7 @@ def anchor(n: Column) -> Column:
 def blocks(text: Column, separator: str = "\n") -> Column:
     """The trimmed, non-empty blocks of a text, line endings made one."""
     same = F.regexp_replace(text, "\r\n?", "\n")
-    return F.filter(F.transform(F.split(same, separator, -1), F.trim), lambda b: b != "")
+    return F.filter(F.transform(F.split(same, separator, -1), lambda b: F.trim(b)), lambda b: b != "")
 
 
 def paragraphs(docs: DataFrame, separator: str = "\n") -> DataFrame:
@@ -44,8 +44,9 @@ def sentences(text: Column) -> Column:
     return F.when(F.exists(pieces, lambda s: s.rlike(ABBREVIATION)), folded).otherwise(pieces)
 
 
-#: Ends that do not end a sentence.
-ABBREVIATION = r"(^|\s)(Mr|Mrs|Ms|Dr|Prof|St|vs|etc|No)\.$"
+#: Ends that do not end a sentence, in any case and also inside a word; a fixed list.
+ABBREVIATIONS = ("e.g.", "i.e.", "dr.", "mr.", "mrs.", "prof.", "fig.", "vs.", "al.")
+ABBREVIATION = r"(?i)(" + "|".join(a.replace(".", r"\.") for a in ABBREVIATIONS) + ")$"
 
 
 def seconds(ts: Column) -> Column:

@@ -204,3 +204,44 @@ def test_chapters_are_read(spark, tmp_path):
     p = V.paragraphs(spark.createDataFrame([(r.text, "a", 1)], "text string, source string, doc_id long"), "\n\n")
     assert [(x.anchor, x.text) for x in p.collect()] == [("^p-001", "one"), ("^p-002", "two")]
     assert V.listing(spark, str(tmp_path)).count() == 1
+
+
+def test_blocks_are_trimmed_of_blanks_only(spark):
+    from quire.sources import views as V
+
+    df = spark.createDataFrame([("0 a 0\n  1b1 \n\n 2 \r\n3",)], "text string").select(V.blocks(F.col("text")).alias("b"))
+    assert df.first().b == ["0 a 0", "1b1", "2", "3"]
+
+
+def test_long_paragraph_and_stored_index(spark, tmp_path):
+    """A paragraph of 100,000 words is indexed, and a stored index that is brought up to date is that of the new texts."""
+    from quire.operators import search
+
+    words = [f"w{i % 5000}" for i in range(100_000)]
+    schema = "book_id string, chapter long, ord long, text string"
+    old = spark.createDataFrame([("b", 1, 1, " ".join(words)), ("b", 2, 1, "gone away"), ("b", 3, 1, "w1 w2 stays"), ("b", 4, 1, "w1 stays")], schema)
+    new = spark.createDataFrame([("b", 1, 1, "w1 w2 short"), ("b", 3, 1, "w1 w2 stays"), ("b", 4, 1, "w1 stays"), ("b", 5, 1, "w2 fresh"), ("b", 5, 2, "--")], schema)
+    search.build_index(old, str(tmp_path / "a"))
+    kept = spark.read.parquet(str(tmp_path / "a" / "postings"))
+    assert kept.where("chapter = 1").count() == 5000 and kept.where("term = 'w7' and chapter = 1").first().positions == list(range(7, 100_000, 5000))
+    search.update_index(str(tmp_path / "a"), str(tmp_path / "b"), spark.createDataFrame([(1,), (2,), (5,)], "chapter long"), new)
+    rows = lambda df: sorted(map(tuple, df.select("book_id", "chapter", "ord", "term", "tf", "positions", "length").collect()))
+    assert rows(spark.read.parquet(str(tmp_path / "b" / "postings"))) == rows(search.index(new))
+    for typed in ("w1 AND w2", "stays NOT w2", "w* OR fresh", '"w1 w2"'):
+        assert search.search_index(spark, str(tmp_path / "b"), typed).collect() == search.search(new, typed).collect()
+
+
+def test_publish_survives_a_stop_between_its_renames(spark, tmp_path):
+    import os
+
+    from quire.operators import publish
+
+    target = str(tmp_path / "t")
+    publish.publish(spark.range(5), target)
+    os.rename(target, target + "__old")  # a publish() broke off here
+    with pytest.raises(ValueError, match="lose rows"):
+        publish.publish(spark.range(1), target)
+    assert spark.read.parquet(target).count() == 5
+    os.rename(target, target + "__old")
+    publish.publish(spark.range(7), target)
+    assert spark.read.parquet(target).count() == 7 and not os.path.exists(target + "__old")

@@ -136,7 +136,7 @@ def links(docs: DataFrame, words: int = 5, similarity: float = SIMILARITY) -> tu
     reps = common.written(reps.dropDuplicates(["node"]), "representatives")
     bands = reps.select(F.explode("bands").alias("key"), "node")
     shared = bands.groupBy("key").agg(F.count("*").alias("count")).where("count > 1")
-    bands = common.written(bands.join(shared, "key"), "shared-bands")
+    bands = common.written(bands.hint("merge").join(shared, "key"), "shared-bands")  # exploded rows are not to be broadcast
     # The member that shares most bands with others is the likeliest to resemble all: copies of one text differ from it by
     # less than from each other.
     weight = bands.groupBy("node").agg(F.sum("count").alias("weight"))
@@ -160,7 +160,7 @@ def links(docs: DataFrame, words: int = 5, similarity: float = SIMILARITY) -> tu
     through = slim.where("out").alias("a").join(slim.alias("b"), (F.col("a.hub") == F.col("b.hub")) & differ & enough & _alike(similarity))
     # Others that resemble share one, and by the order also one of their prefixes.
     named = placed.select("hub", "node", "part", "out", F.explode("own").alias("shingle"))
-    beside = named.where("out").alias("a").join(named.alias("b"), (F.col("a.hub") == F.col("b.hub")) & (F.col("a.shingle") == F.col("b.shingle")) & differ)
+    beside = named.where("out").alias("a").join(named.hint("merge").alias("b"), (F.col("a.hub") == F.col("b.hub")) & (F.col("a.shingle") == F.col("b.shingle")) & differ)
     pair = [F.col("a.node").alias("a"), F.col("b.node").alias("b")]
     rest = through.select(*pair).unionByName(beside.select(*pair)).distinct()
     return member, found.unionByName(verified(rest, docs, words, similarity))

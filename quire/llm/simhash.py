@@ -71,7 +71,8 @@ def linked(fps: DataFrame, heavy: int = HEAVY) -> DataFrame:
     flips = F.filter(F.sequence(F.lit(0), width - 1), lambda b: F.expr("y").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), b)) == 0)
     asked = F.concat(F.array(F.col("y")), F.transform(flips, lambda b: F.col("y").bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), b))))
     probe = light.select(F.col("fp").alias("a"), "i", "x", F.posexplode(asked).alias("flip", "y"))
-    pairs = light.join(probe, ["i", "x", "y"]).where((F.col("flip") > 0) | (F.col("a") < F.col("fp")))
+    # Estimates leave the rows that explode() makes out of account, so without a hint the larger side may be broadcast.
+    pairs = light.join(probe.hint("merge"), ["i", "x", "y"]).where((F.col("flip") > 0) | (F.col("a") < F.col("fp")))
     pairs = pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("fp"))) <= BITS).select("a", F.col("fp").alias("b"))
     hubs = index.where("hot").select("fp").distinct()
     hubs = hubs.select("fp", F.explode(F.expr("concat(array(fp), transform(sequence(0, 63), b -> fp ^ shiftleft(1L, b)))")).alias("hub"))

@@ -5,8 +5,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from quire.functions import rules, udfs
 from quire.functions import text as T
-from quire.functions import udfs
 from quire.operators import cards, fsrs, publish, records, search
 from quire.plans import catalog
 from quire.sources import views as V
@@ -245,3 +245,8 @@ def test_publish_survives_a_stop_between_its_renames(spark, tmp_path):
     os.rename(target, target + "__old")
     publish.publish(spark.range(7), target)
     assert spark.read.parquet(target).count() == 7 and not os.path.exists(target + "__old")
+
+
+def test_three_line_ends_are_a_break_and_a_line_end(spark):
+    df = spark.createDataFrame([("a\nb\n\nc\n\n\nd\n\n\n\ne",)], "t string")
+    assert df.select(rules.exact_text(F.col("t"))).first()[0] == "a b\n\nc\n\n d\n\n\n\ne"

@@ -250,3 +250,8 @@ def test_publish_survives_a_stop_between_its_renames(spark, tmp_path):
 def test_three_line_ends_are_a_break_and_a_line_end(spark):
     df = spark.createDataFrame([("a\nb\n\nc\n\n\nd\n\n\n\ne",)], "t string")
     assert df.select(rules.exact_text(F.col("t"))).first()[0] == "a b\n\nc\n\n d\n\n\n\ne"
+
+
+def test_answers_end_in_small_words_by_ascii_letters(spark):
+    df = spark.createDataFrame([(" éçon",), ("aé x",), ("oné",), ("an idea",), ("idea on",), ("cannon",), ("plain",)], "a string")
+    assert [r[0] for r in df.select(T.eligible_answer(F.col("a"))).collect()] == [False, False, True, False, False, True, True]

@@ -255,3 +255,11 @@ def test_three_line_ends_are_a_break_and_a_line_end(spark):
 def test_answers_end_in_small_words_by_ascii_letters(spark):
     df = spark.createDataFrame([(" éçon",), ("aé x",), ("oné",), ("an idea",), ("idea on",), ("cannon",), ("plain",)], "a string")
     assert [r[0] for r in df.select(T.eligible_answer(F.col("a"))).collect()] == [False, False, True, False, False, True, True]
+
+
+def test_cloze_display_without_a_second_word(spark, tmp_path):
+    texts = ["One.\nTwo three.", "One.\nTwo", "One.\nTwo", "x A b", "x A b", "x A b", "x y a==b == c", "x y a==b == c", "x y a==b == c"]
+    spark.createDataFrame(list(enumerate(texts)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r.item_id: (r.before, r.target, r.after) for r in catalog.QUERIES["cloze_display"](spark, str(tmp_path)).collect()}
+    want = [("", t) if t.startswith("One") else (t.split()[1], t[3:]) for t in texts]
+    assert got == {i: ("A ", word, rest) for i, (word, rest) in enumerate(want)}

@@ -10,6 +10,11 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    fs, there = _fs(spark, path)
+    fs.delete(there, True)
+
+
 def recover(spark: SparkSession, target: str) -> None:
     """Brings back what a publish() that broke off between its two renames has left: the old table where there is no other."""
     fs, there = _fs(spark, target)

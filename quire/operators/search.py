@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
+import bisect
+import gc
+import io
 import itertools
 import re
+import time
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -101,30 +110,140 @@ def index(p: DataFrame, stem: bool = False) -> DataFrame:
     return d.select("book_id", "chapter", "ord", "term", "tf", "positions", "length")
 
 
+#: Columns of stored postings.
+POSTING = "book_id string, chapter long, ord long, term string, tf long, positions array<int>, length long"
+POSTINGS = pa.schema([("book_id", pa.string()), ("chapter", pa.int64()), ("ord", pa.int64()), ("term", pa.string()), ("tf", pa.int64()), ("positions", pa.list_(pa.int32())), ("length", pa.int64())])
+#: Words of paragraphs that are packed at once, and that a bucket holds at most, about.
+PART, BUCKET = 2_000_000, 2_000_000
+
+
+def _postings(rows: pa.RecordBatch) -> pa.RecordBatch:
+    """Postings of the paragraphs (book_id, chapter, ord, words), by term, chapter and ord."""
+    words = pc.split_pattern(rows["words"], " ")
+    size, flat = pc.list_value_length(words).to_numpy(), words.flatten().dictionary_encode()
+    place = [pc.fill_null(rows[c], -(2**63)).to_numpy() for c in ("chapter", "ord")]
+    by_place = np.lexsort(place[::-1])
+    rank, n = np.empty(len(size), np.int64), len(size)
+    rank[by_place] = np.arange(n)
+    by_term = pc.sort_indices(flat.dictionary).to_numpy()
+    code = np.empty(len(by_term), np.int64)
+    code[by_term] = np.arange(len(by_term))
+    key = code[flat.indices.to_numpy()] * n + np.repeat(rank, size)
+    at = (np.arange(len(key)) - np.repeat(np.cumsum(size) - size, size)).astype(np.int32)
+    order = np.argsort(key, kind="stable")
+    key, at = key[order], at[order]
+    start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    row, end = pa.array(by_place[key[start] % n]), np.append(start, len(key)).astype(np.int32)
+    term = flat.dictionary.take(pa.array(by_term[key[start] // n]))
+    columns = [*(rows[c].take(row) for c in ("book_id", "chapter", "ord")), term, pa.array(np.diff(end).astype(np.int64)), pa.ListArray.from_arrays(pa.array(end), pa.array(at)), pa.array(size.astype(np.int64)).take(row)]
+    return pa.RecordBatch.from_arrays(columns, schema=POSTINGS)
+
+
+def _write_postings(p: DataFrame, folder: str, words: int, buckets: int, mode: str) -> None:
+    """Writes the postings of p by ranges of (term, chapter, ord), a file each and ordered in it.
+
+    A paragraph's postings are made where it is read. Their one shuffle is of blocks, sorted and squeezed; a sample of
+    about 20,000 postings says where ranges end and nothing else.
+    """
+    buckets = max(buckets, words // BUCKET)
+    t = p.select(F.col("book_id").cast("string"), F.col("chapter").cast("long"), F.col("ord").cast("long"), T.terms(F.col("text")).alias("t"))
+    share = max(1, words // 2_000_000)
+    some = t.where(F.pmod(F.xxhash64("chapter", "ord"), F.lit(share)) == 0).select(F.explode(F.array_distinct("t")).alias("term"), "chapter", "ord")
+    some = some.where(F.pmod(F.xxhash64("term", "chapter", "ord"), F.lit(max(1, words // share // 20_000))) == 0)
+    seen = sorted((r["term"], -(2**63) if r["chapter"] is None else r["chapter"], r["ord"]) for r in some.collect())
+    bounds = [seen[len(seen) * i // buckets] for i in range(1, buckets)] if seen else []
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The paragraphs in parts of about PART words, a longer one alone."""
+        held, words = [], 0
+        for batch in batches:
+            total = np.cumsum(batch["n"].to_numpy()) + words
+            cuts = np.unique(np.append(np.searchsorted(total, np.arange(PART, total[-1] + 1 if len(total) else 0, PART)) + 1, 0))
+            for lo, hi in itertools.pairwise(np.unique(np.append(cuts, len(batch))).tolist()):
+                held.append(batch.slice(lo, hi - lo))
+                if hi in cuts:
+                    yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                    held = []
+            words = int(total[-1]) % PART if len(total) else words
+        if held:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts(batches):
+            x = _postings(part)
+            run, chapter, ord_ = pc.run_end_encode(x["term"]), *(pc.fill_null(x[c], -(2**63)).to_numpy() for c in ("chapter", "ord"))
+            terms, ends, at = run.values.to_pylist(), run.run_ends.to_pylist(), [0]
+            for term, c, o in bounds:
+                i = bisect.bisect_left(terms, term)
+                a = ends[i - 1] if i else 0
+                if i < len(terms) and terms[i] == term:
+                    own = chapter[a : ends[i]]
+                    a, b = a + int(np.searchsorted(own, c)), a + int(np.searchsorted(own, c, "right"))
+                    a += int(np.searchsorted(ord_[a:b], o))
+                at.append(a)
+            for bucket, (a, b) in enumerate(itertools.pairwise([*at, len(x)])):
+                if a < b:
+                    out = io.BytesIO()
+                    pq.write_table(pa.Table.from_batches([x.slice(a, b - a)]), out, compression="zstd", write_statistics=False, store_schema=False)
+                    yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([out.getvalue()])], names=["bucket", "data"])
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[bytes]] = {}
+        for batch in batches:
+            for bucket, data in zip(batch["bucket"].to_pylist(), batch["data"].to_pylist(), strict=True):
+                held.setdefault(bucket, []).append(data)
+        for bucket in sorted(held):
+            found = pa.concat_tables([pq.read_table(io.BytesIO(data), use_threads=False).cast(POSTINGS) for data in held.pop(bucket)])
+            yield from found.sort_by([(c, "ascending") for c in ("term", "chapter", "ord")]).to_batches(100_000)
+
+    t = t.where(F.size("t") > 0).select("book_id", "chapter", "ord", F.size("t").alias("n"), F.array_join("t", " ").alias("words"))
+    blocks = t.mapInArrow(packed, "bucket int, data binary").repartitionById(buckets, "bucket")
+    _stored(blocks.mapInArrow(merged, POSTING), f"{folder}/postings", mode)
+    del blocks
+    _tidy(p.sparkSession)
+
+
+def _tidy(spark) -> None:
+    """Lets Spark delete the shuffle files of what is over, which it does once the driver's garbage is collected."""
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.3)
+
+
+def _stored(postings: DataFrame, path: str, mode: str) -> None:
+    """Small row groups, so that a search reads little of a file that holds several ranges."""
+    postings.write.mode(mode).option("compression", "zstd").option("parquet.block.size", 8 << 20).parquet(path)
+
+
+def _totals(p: DataFrame) -> DataFrame:
+    return p.select(F.size(T.terms(F.col("text"))).alias("n")).agg(F.count("*").alias("N"), F.avg("n").alias("avgdl"), F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("terms"))
+
+
 def build_index(p: DataFrame, folder: str, buckets: int = 64) -> None:
     """Stores the index of paragraphs (book_id, chapter, ord, text): postings by ranges of terms and one row of totals (Q11).
 
-    Postings are ordered by term inside buckets of its first letters' ranges, so a search opens the files and row groups of
-    its words only.
+    Postings are ordered by term inside `buckets` ranges or more, so a search opens the files and row groups of its words
+    only.
     """
-    index(p).repartitionByRange(buckets, "term", "chapter", "ord").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{folder}/postings")
-    p.agg(F.count("*").alias("N"), F.avg(F.size(T.terms(F.col("text")))).alias("avgdl"), F.coalesce(F.sum(F.size(T.terms(F.col("text")))), F.lit(0)).cast("long").alias("terms")).write.mode("overwrite").parquet(f"{folder}/totals")
+    _totals(p).write.mode("overwrite").parquet(f"{folder}/totals")
+    _write_postings(p, folder, p.sparkSession.read.parquet(f"{folder}/totals").first()["terms"], buckets, "overwrite")
 
 
 def update_index(folder: str, new: str, changed: DataFrame, p: DataFrame, buckets: int = 64) -> None:
     """Writes to the folder `new` the index of `folder` with the paragraphs of the chapters (chapter) in `changed` as they are in p; chapters that p lacks go.
 
-    The old index stays whole until the new one is put in its place.
+    What stays is copied without a shuffle, for a million changed chapters or fewer; the others' postings lie in files
+    beside it. The old index stays whole until the new one is put in its place.
     """
     spark = p.sparkSession
     old = spark.read.parquet(f"{folder}/postings")
     keys = changed.select("chapter").distinct()
-    keys = F.broadcast(keys) if few(keys) else keys
-    kept = old.join(keys, "chapter", "left_anti")
-    rows = kept.unionByName(index(p.join(keys, "chapter", "left_semi")))
-    rows.repartitionByRange(buckets, "term", "chapter", "ord").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{new}/postings")
+    keys = F.broadcast(keys) if few(keys, 1_000_000) else keys
+    _stored(old.join(keys, "chapter", "left_anti").select(old.columns), f"{new}/postings", "overwrite")
     # Paragraphs without a term have no posting, so the totals come from the paragraphs themselves.
-    p.agg(F.count("*").alias("N"), F.avg(F.size(T.terms(F.col("text")))).alias("avgdl"), F.coalesce(F.sum(F.size(T.terms(F.col("text")))), F.lit(0)).cast("long").alias("terms")).write.mode("overwrite").parquet(f"{new}/totals")
+    _totals(p).write.mode("overwrite").parquet(f"{new}/totals")
+    _write_postings(p.join(keys, "chapter", "left_semi"), new, spark.read.parquet(f"{new}/totals").first()["terms"], buckets, "append")
 
 
 def search_index(spark, folder: str, typed: str, limit: int | None = LIMIT) -> DataFrame:
@@ -133,7 +252,12 @@ def search_index(spark, folder: str, typed: str, limit: int | None = LIMIT) -> D
 
 
 def evaluate(postings: DataFrame, tree) -> DataFrame:
-    """(book_id, chapter, ord, length, f0, f1, ...): how often each leaf occurs in the paragraphs that the tree asks for.
+    """(book_id, chapter, ord, length, f0, f1, ...): how often each leaf occurs in the paragraphs that the tree asks for."""
+    return _hits(postings, tree).where(_holds(tree))
+
+
+def _hits(postings: DataFrame, tree) -> DataFrame:
+    """evaluate() of all paragraphs with a word of a leaf.
 
     Postings are filtered by the leaves' words before the one shuffle by paragraph; phrases are checked on positions.
     """
@@ -154,7 +278,12 @@ def evaluate(postings: DataFrame, tree) -> DataFrame:
             nxt = places(w, t.prefix and i == len(t.words) - 1)
             ok = _followed(ok, nxt, i)
         hits = hits.withColumn(f"f{n}", F.size(ok).cast("long"))
-    count = iter(range(len(terms)))
+    return hits.drop("h")
+
+
+def _holds(tree) -> Column:
+    """Whether the tree asks for a row of _hits()."""
+    count = iter(range(len(leaves(tree))))
 
     def holds(node) -> Column:
         if isinstance(node, Term):
@@ -162,7 +291,7 @@ def evaluate(postings: DataFrame, tree) -> DataFrame:
         a, b = holds(node.args[0]), holds(node.args[1])
         return a & b if node.op == "AND" else a | b if node.op == "OR" else a & ~b
 
-    return hits.where(holds(tree)).drop("h")
+    return holds(tree)
 
 
 def _followed(starts: Column, places: Column, by: int) -> Column:
@@ -184,9 +313,10 @@ def _ranked(spark, tree, postings: DataFrame, total: DataFrame, limit: int | Non
     if tree is None:
         return spark.createDataFrame([], "rank long, book_id string, chapter long, ord long, score double")
     count = [i for i, (_, good) in enumerate(leaves(tree)) if good]
-    every = evaluate(postings, _any([leaves(tree)[i][0] for i in count]))
-    seen = every.agg(*[F.count_if(F.col(f"f{i}") > 0).alias(f"n{i}") for i in range(len(count))])
-    found = evaluate(postings, tree).crossJoin(F.broadcast(total)).crossJoin(F.broadcast(seen))  # one row each
+    hits = _hits(postings, tree)
+    # Both uses need a hit's length, so their shuffle is the same one and is made once.
+    seen = hits.agg(*[F.count_if((F.col(f"f{i}") > 0) & F.col("length").isNotNull()).alias(f"n{j}") for j, i in enumerate(count)])
+    found = hits.where(_holds(tree)).crossJoin(F.broadcast(total)).crossJoin(F.broadcast(seen))  # one row each
     score = F.lit(0.0)
     for j, i in enumerate(count):
         n = F.col(f"n{j}")
@@ -202,13 +332,6 @@ def _ranked(spark, tree, postings: DataFrame, total: DataFrame, limit: int | Non
     return best.withColumn("rank", F.row_number().over(w).cast("long")).select("rank", "book_id", "chapter", "ord", "score")
 
 
-def _any(terms: list[Term]):
-    tree = terms[0]
-    for t in terms[1:]:
-        tree = Node("OR", (tree, t))
-    return tree
-
-
 def matches(p: DataFrame, typed: str) -> DataFrame:
     """(book_id, chapter, ord) of the paragraphs that the search asks for."""
     tree = parse(typed)

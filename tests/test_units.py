@@ -263,3 +263,21 @@ def test_cloze_display_without_a_second_word(spark, tmp_path):
     got = {r.item_id: (r.before, r.target, r.after) for r in catalog.QUERIES["cloze_display"](spark, str(tmp_path)).collect()}
     want = [("", t) if t.startswith("One") else (t.split()[1], t[3:]) for t in texts]
     assert got == {i: ("A ", word, rest) for i, (word, rest) in enumerate(want)}
+
+
+def _shuffled(spark):
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark._sc._gateway.new_array(spark._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_stored_postings_are_those_of_the_index(spark, tmp_path):
+    d = spark.createDataFrame([("b", 2, 1, "One two one."), ("b", 1, 1, "two ÉÉ three"), ("c", None, 1, "one"), ("b", 1, 2, "?!"), ("b", 3, 7, "one " * 50)], "book_id string, chapter long, ord long, text string")
+    d = d.unionByName(V.paragraphs(V.table(spark, "/root/testdata/sf0.001", "documents")).select(d.columns))
+    before = _shuffled(spark)
+    search.build_index(d, f"{tmp_path}/a", buckets=5)
+    assert _shuffled(spark) - before < 1_000_000  # 3,496,439 bytes as rows of words
+    got = spark.read.parquet(f"{tmp_path}/a/postings")
+    assert got.exceptAll(search.index(d).select(got.columns)).isEmpty() and search.index(d).select(got.columns).exceptAll(got).isEmpty()
+    search.update_index(f"{tmp_path}/a", f"{tmp_path}/b", d.where("chapter = 2 or chapter = 3"), d.where("chapter <> 3 or chapter is null"), buckets=3)
+    want, got = search.index(d.where("chapter <> 3 or chapter is null")).select(got.columns), spark.read.parquet(f"{tmp_path}/b/postings")
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()

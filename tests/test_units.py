@@ -281,3 +281,16 @@ def test_stored_postings_are_those_of_the_index(spark, tmp_path):
     search.update_index(f"{tmp_path}/a", f"{tmp_path}/b", d.where("chapter = 2 or chapter = 3"), d.where("chapter <> 3 or chapter is null"), buckets=3)
     want, got = search.index(d.where("chapter <> 3 or chapter is null")).select(got.columns), spark.read.parquet(f"{tmp_path}/b/postings")
     assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+
+
+def test_stems_take_each_word_once(spark, monkeypatch):
+    import pyarrow as pa
+
+    asked, stem = [], udfs.porter
+    monkeypatch.setattr(udfs, "porter", lambda w: asked.append(w) or stem(w))
+    udfs._stem.cache_clear()
+    got = udfs.stems.func(pa.array([["ponies", "relational", "ponies"], None, [], ["ponies", "éclairs"]]))
+    assert got.to_pylist() == [["poni", "relat", "poni"], [], [], ["poni", "eclair"]]
+    assert sorted(asked) == ["eclairs", "ponies", "relational"]
+    df = spark.createDataFrame([(["ponies", "x"],), (None,), ([],)], "t array<string>")
+    assert [r[0] for r in df.select(udfs.stems("t")).collect()] == [["poni", "x"], [], []]

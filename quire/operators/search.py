@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import bisect
+import ctypes
 import gc
 import io
 import itertools
 import re
 import time
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import suppress
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -114,7 +116,7 @@ def index(p: DataFrame, stem: bool = False) -> DataFrame:
 POSTING = "book_id string, chapter long, ord long, term string, tf long, positions array<int>, length long"
 POSTINGS = pa.schema([("book_id", pa.string()), ("chapter", pa.int64()), ("ord", pa.int64()), ("term", pa.string()), ("tf", pa.int64()), ("positions", pa.list_(pa.int32())), ("length", pa.int64())])
 #: Words of paragraphs that are packed at once, and that a bucket holds at most, about.
-PART, BUCKET = 2_000_000, 2_000_000
+PART, BUCKET = 500_000, 1_000_000
 
 
 def _postings(rows: pa.RecordBatch) -> pa.RecordBatch:
@@ -197,12 +199,27 @@ def _write_postings(p: DataFrame, folder: str, words: int, buckets: int, mode: s
             yield from found.sort_by([(c, "ascending") for c in ("term", "chapter", "ord")]).to_batches(100_000)
 
     t = t.where(F.size("t") > 0).select("book_id", "chapter", "ord", F.size("t").alias("n"), F.array_join("t", " ").alias("words"))
-    blocks = t.mapInArrow(packed, "bucket int, data binary").repartitionById(buckets, "bucket")
-    _stored(blocks.mapInArrow(merged, POSTING), f"{folder}/postings", mode)
+    blocks = t.mapInArrow(_released(packed), "bucket int, data binary").repartitionById(buckets, "bucket")
+    _stored(blocks.mapInArrow(_released(merged), POSTING), f"{folder}/postings", mode)
     del blocks
     _tidy(p.sparkSession)
 
 
+def _released(step: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A step of mapInArrow that gives its memory back when a task ends, as Python workers stay."""
+
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from step(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with suppress(OSError, AttributeError):  # only where the C library has it
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
 def _tidy(spark) -> None:
     """Lets Spark delete the shuffle files of what is over, which it does once the driver's garbage is collected."""
     for _ in range(2):
